@@ -19,24 +19,50 @@ from __future__ import annotations
 import base64
 import os
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from byteloom.llm import common, prefix_bpe
+from byteloom.llm import common, gpt_split, lattice, prefix_bpe, wordhash
 
 #: Folder of the public vocabulary files; BYTELOOM_TOKENIZERS names another.
 TOKENIZERS = os.environ.get("BYTELOOM_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = os.path.join(TOKENIZERS, "byte_bpe_50k.tiktoken")
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BUDGETS = (512, 2048, 8192)
-#: Pieces whose counts a worker remembers, and the longest piece remembered.
-REMEMBERED, LONGEST = 500_000, 64
+#: Pieces whose counts a worker remembers.
+REMEMBERED = 500_000
+
+
+class Pieces:
+    """The pieces of a batch of texts."""
+
+    def __init__(self, column: pa.Array):
+        data, rows = common.flat(column)
+        self.data = data
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        byte = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # where each character begins
+        row_end = np.searchsorted(byte, rows[1])
+        start, self.runs = gpt_split.split(points, row_end)
+        at = np.flatnonzero(start)
+        size = np.diff(np.append(at, len(points)))
+        real = np.ones(len(points), bool)
+        real[row_end] = False
+        keep = real[at]
+        self.at, self.size = at[keep], size[keep]  # in characters
+        self.start, self.end = byte[self.at], byte[self.at + self.size]  # in bytes
+        self.rows = np.stack([np.searchsorted(byte, rows[0]), row_end])
+        self.first = np.append(np.searchsorted(self.at, self.rows[0]), len(self.at))
+        h = wordhash.Runs(wordhash.BYTE[data], wordhash.BASE)(self.start, self.end)
+        self.hash, self.example, self.which = np.unique(h, return_index=True, return_inverse=True)
+        self.byte = byte
+
+    def bytes(self, piece: int) -> bytes:
+        return self.data[self.start[piece] : self.end[piece]].tobytes()
 
 
 class Counter:
@@ -45,61 +71,87 @@ class Counter:
     def __init__(self, vocabulary: str):
         with open(vocabulary, "rb") as f:
             rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        # The library is told of no special tokens; its own splitting isn't used.
         self.encode = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=rank, special_tokens={})._encode_single_piece
         self.prefixes = prefix_bpe.PrefixCounter(rank, self.encode)
-        self.split = regex.compile(PATTERN).findall
-        self.runs = regex.compile(r"\s\s+(?=\S)").finditer
-        self.known: dict[str, bytes] = {}
-        self.sizes: dict[str, int] = {}
-
-    def piece(self, piece: str) -> np.ndarray:
-        """Counts after 1, 2, ... characters of a piece of the pattern."""
-        data = piece.encode()
-        count = np.array(self.prefixes(data)[1:], np.int32)
-        if len(data) != len(piece):
-            b = np.frombuffer(data, np.uint8)
-            count = count[np.append((b[1:] & 0xC0) != 0x80, True)]
-        if len(piece) == 3 and piece[0] == "'" and piece[1:].isascii() and piece[1:].isalpha():
-            # "'r" would be split into "'" and "r".
-            count[1] = count[0] + len(self.encode(piece[1].encode()))
-        return count
-
-    def count(self, text: str) -> int:
-        """Tokens of a text."""
-        pieces, sizes = self.split(text), self.sizes
-        try:
-            return sum(map(sizes.__getitem__, pieces))
-        except KeyError:
-            if len(sizes) >= 2 * REMEMBERED:
-                sizes.clear()
-            extra = {}
-            for p in set(pieces).difference(sizes):
-                (sizes if len(p) <= LONGEST else extra)[p] = len(self.encode(p.encode()))
-            return sum(sizes[p] if p in sizes else extra[p] for p in pieces)
-
-    def prefix_counts(self, text: str) -> np.ndarray:
-        """Tokens of the first i characters of text, for i from 1 to its length."""
-        pieces, known = self.split(text), self.known
-        if not pieces:
-            return np.zeros(0, np.int32)
-        try:
-            tables = b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            if len(known) >= REMEMBERED:
-                known.clear()
-            extra = {}
-            for p in set(pieces).difference(known):
-                (known if len(p) <= LONGEST else extra)[p] = self.piece(p).tobytes()
-            tables = b"".join(known[p] if p in known else extra[p] for p in pieces)
-        counts = np.frombuffer(tables, np.int32)
-        lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        ends = counts[np.cumsum(lens) - 1].astype(np.int64)
-        out = counts + np.repeat(np.cumsum(ends) - ends, lens)
-        # The last of several white-space characters before a word is split from them, yet in a prefix that ends with it it isn't.
-        for m in self.runs(text):
-            a, b = m.span()
-            out[b - 1] = (out[a - 1] if a else 0) + len(self.encode(text[a:b].encode()))
-        return out.astype(np.int32)
+        self.rank = rank
+        self.known = lattice.Remembered(REMEMBERED, np.int32)
+        self.sizes = lattice.Remembered(4 * REMEMBERED, np.int32)
+
+    @cached_property
+    def lattice(self) -> lattice.Lattice:
+        tokens = {r: np.frombuffer(t, np.uint8).astype(np.int64) + 1 for t, r in self.rank.items()}
+        return lattice.Lattice(tokens, self.prefixes.joins, 256)
+
+    def _tables(self, pieces: Pieces, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts after each character of the new pieces, joined, and the characters of each."""
+        example = pieces.example[new]
+        n = pieces.end[example] - pieces.start[example]
+        short = np.flatnonzero(n <= lattice.LONGEST_PIECE)
+        tables: list = [None] * len(new)
+        if len(short):
+            size = n[short] + 1
+            start = np.cumsum(size) - size
+            units = np.zeros(int(size.sum()), np.int64)
+            inside = np.ones(len(units), bool)
+            inside[start + size - 1] = False
+            units[inside] = lattice.expand(pieces.data, pieces.start[example[short]], n[short]).astype(np.int64) + 1
+            last, number = self.lattice.solve(units, start)
+            # The count after a character stands where the next one begins.
+            data = units - 1
+            after = np.concatenate([inside[:-1], [False]])
+            after = np.concatenate([[False], after[:-1]])
+            after &= ((data & 0xC0) != 0x80) | (data < 0)
+            flat = number[after]
+            chars = np.diff(np.append(np.searchsorted(np.flatnonzero(after), start), len(flat)))
+            if len(short) == len(new):
+                return self._contractions(pieces, example, flat, chars)
+            for i, t in zip(short.tolist(), np.split(flat, np.cumsum(chars)[:-1])):
+                tables[i] = t
+        for i in np.flatnonzero(n > lattice.LONGEST_PIECE).tolist():
+            piece = pieces.bytes(example[i])
+            count = np.array(self.prefixes(piece)[1:], np.int32)
+            tables[i] = count[np.append((np.frombuffer(piece, np.uint8)[1:] & 0xC0) != 0x80, True)]
+        return self._contractions(pieces, example, np.concatenate(tables), np.array([len(t) for t in tables]))
+
+    def _contractions(self, pieces: Pieces, example: np.ndarray, flat: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A prefix "'r" of "'re" is split in two."""
+        at = np.cumsum(chars) - chars
+        for i in np.flatnonzero((chars == 3) & (pieces.data[pieces.start[example]] == 39)).tolist():
+            piece = pieces.bytes(example[i])
+            if piece in (b"'re", b"'ve", b"'ll"):
+                flat[at[i] + 1] = flat[at[i]] + len(self.encode(piece[1:2]))
+        return flat, chars
+
+    def counts(self, column: pa.Array) -> np.ndarray:
+        """Tokens of each text."""
+        pieces = Pieces(column)
+        new = self.sizes.missing(pieces.hash)
+        if len(new):
+            self.sizes.add(pieces.hash[new], np.array([len(self.encode(pieces.bytes(k))) for k in pieces.example[new].tolist()]), np.ones(len(new), np.int64))
+        at, _ = self.sizes.rows(pieces.hash)
+        total = np.concatenate([[0], np.cumsum(self.sizes.flat[at][pieces.which], dtype=np.int64)])
+        return np.diff(total[pieces.first])
+
+    def prefix_counts(self, column: pa.Array) -> list[np.ndarray]:
+        """For each text the tokens of its first i characters, for i from 1 to its length."""
+        pieces = Pieces(column)
+        new = self.known.missing(pieces.hash)
+        if len(new):
+            self.known.add(pieces.hash[new], *self._tables(pieces, new))
+        at, n = self.known.rows(pieces.hash)
+        ends = self.known.flat[at + n - 1][pieces.which].astype(np.int64)
+        before = np.cumsum(ends) - ends
+        base = np.append(before, 0)[pieces.first[:-1]]
+        before -= np.repeat(base, np.diff(pieces.first))
+        out = lattice.expand(self.known.flat, at[pieces.which], n[pieces.which]) + np.repeat(before, n[pieces.which])
+        # By characters with the NULs between texts taken out.
+        shift = pieces.rows[0] - np.arange(len(pieces.rows[0]))
+        for a, b in pieces.runs:
+            row = int(np.searchsorted(pieces.rows[1], a))
+            run = len(self.encode(pieces.data[pieces.byte[a] : pieces.byte[b]].tobytes()))
+            out[b - 1 - row] = (out[a - 1 - row] if a > pieces.rows[0][row] else 0) + run
+        return np.split(out, shift[1:])
 
 
 @lru_cache(2)
@@ -135,11 +187,10 @@ def prefix_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         names = ["doc_id", "n_tokens", "prefix_table", *(f"chars_{b}" for b in budgets)]
         for batch in common.pieces(batches, 1, 4 << 20):
             out: list[list] = [[] for _ in names[1:]]
-            for text in batch.column(1).to_pylist():
-                if text is None:
+            for null, counts in zip(batch.column(1).is_null().to_pylist(), c.prefix_counts(batch.column(1))):
+                if null:
                     row = [None] * len(out)
                 else:
-                    counts = c.prefix_counts(text)
                     row = [int(counts[-1]) if len(counts) else 0, pack(counts), *(truncation(counts, b) for b in budgets)]
                 for o, x in zip(out, row):
                     o.append(x)
@@ -156,8 +207,8 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(vocabulary)
         for b in common.pieces(batches, 2, 4 << 20):
-            n = [None if t is None else c.count(t) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["doc_id", "k", "n_tokens"])
+            n = pa.array(c.counts(b.column(2)), pa.int64(), mask=b.column(2).is_null().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n], ["doc_id", "k", "n_tokens"])
 
     rows = docs.select(docs[id_col].alias("doc_id"), common.row_key(docs, id_col, text_col).alias("k"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, k long, n_tokens long")

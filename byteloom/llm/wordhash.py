@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 _rng = np.random.default_rng(0x5EED)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B, _C = 0x9E3779B97F4A7C15 | 5, 0xC2B2AE3D27D4EB4F | 5
+BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BASE, _C = 0x9E3779B97F4A7C15 | 5, 0xC2B2AE3D27D4EB4F | 5
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 #: Bytes that end a word: ASCII white space and NUL.
@@ -58,7 +58,7 @@ def words(data: np.ndarray, ends_word: np.ndarray) -> tuple[np.ndarray, np.ndarr
     start, end = edge[0::2], edge[1::2]
     if not len(start):
         return start, end, np.zeros(0, np.uint64)
-    return start, end, Runs(_BYTE[data], _B)(start, end)
+    return start, end, Runs(BYTE[data], BASE)(start, end)
 
 
 def by_row(start: np.ndarray, rows: np.ndarray) -> np.ndarray:
