@@ -9,9 +9,10 @@ Of all suffixes only those are retained that begin at a minimiser: the place wit
 passage. Two equal passages have the same minimiser at the same offset, so no repeat is lost. Retained suffixes are
 sorted by a stretch of ``REACH`` words around the minimiser - that to the right for passages that lie mostly to its
 right, that to the left for the others - and compared with their neighbours. Those with an equal neighbour are extended
-left and right in their documents to the passages around the minimiser. The extended passages are sorted and
-neighbours compared once more, which leaves exactly the repeated ones. Both sorts are keyed by 64-bit hashes, so a
-passage that a great many documents share is one sorted run and never a set of pairs.
+left and right in their documents to the passages around the minimiser. The extended passages of a suffix travel in one
+row, to where all suffixes with the same stretch are; there they are sorted and neighbours compared once more, which leaves
+exactly the repeated ones. Both sorts are keyed by 64-bit hashes, so a passage that a great many documents share is one
+sorted run, which can spill, and never a set of pairs.
 
 Defined cases. Texts of fewer than MIN_WORDS words, null and empty ones included, have no passage. Rows equal in doc_id
 and text are one document: they don't repeat each other and are edited alike. A null doc_id is an id of its own, lowest
@@ -72,11 +73,20 @@ class Document:
         key = np.concatenate([self.runs(right, right + REACH), self.runs(left - reach, left + SEED) ^ np.uint64(1)])
         return key, np.concatenate([right * 2, left * 2 + 1])
 
-    def passages(self, places: np.ndarray) -> np.ndarray:
-        """First words of the passages whose minimiser is among the places."""
+    def passages(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each of the places that is a minimiser: its key, and first and number of its passages, which are successive."""
+        side = self.offset > MIN_WORDS - REACH
+        own = self.at * 2 + side
         marked = np.zeros(2 * (self.n + MIN_WORDS), bool)
         marked[places] = True
-        return np.flatnonzero(marked[self.at * 2 + (self.offset > MIN_WORDS - REACH)])
+        begin = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        count = np.diff(np.append(begin, self.n))
+        hit = marked[own[begin]]
+        begin, count = begin[hit], count[hit]
+        at, left = self.at[begin], side[begin]
+        reach = REACH - SEED + 1
+        key = self.runs(np.where(left, at - reach, at), np.where(left, at + SEED, at + REACH)) ^ left.astype(np.uint64)
+        return key, begin, count
 
 
 def _documents(column: pa.Array) -> Iterator[tuple[int, Document]]:
@@ -88,10 +98,6 @@ def _documents(column: pa.Array) -> Iterator[tuple[int, Document]]:
             yield k, Document(h[a:b])
 
 
-def _batch(parts: dict[str, list], types: dict[str, pa.DataType]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v), types[c]) if c != "doc_id" else pa.concat_arrays(v) for c, v in parts.items()], list(parts))
-
-
 def retained(docs: DataFrame) -> DataFrame:
     """key, k, place of the retained suffixes of docs (k, text)."""
 
@@ -104,7 +110,7 @@ def retained(docs: DataFrame) -> DataFrame:
                 parts["k"].append(np.full(len(key), k[i]))
                 parts["place"].append(place.astype(np.int32))
             if parts["key"]:
-                yield _batch(parts, {"key": pa.int64(), "k": pa.int64(), "place": pa.int32()})
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in parts.values()], list(parts))
 
     return docs.select("k", "text").mapInArrow(run, "key long, k long, place int")
 
@@ -118,36 +124,56 @@ def matched(suffixes: DataFrame) -> DataFrame:
 
 
 def extended(joined: DataFrame, doc: str, key: str, text: str, places: str, id_type: str) -> DataFrame:
-    """h, doc_id, k, at: the passages around matched minimisers. joined has all columns of the documents and the places."""
+    """key, doc_id, k, start, hs: for each matched suffix the hashes of its passages, the first of which begins at word start.
+
+    joined has all columns of the documents and the places.
+    """
     at = [joined.columns.index(c) for c in (doc, key, text, places)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.pieces(batches, at[2]):
             ids, k, texts, places = (b.column(i) for i in at)
-            ks, parts = np.asarray(k), {"h": [], "doc_id": [], "k": [], "at": []}
+            ks, out = np.asarray(k), {"key": [], "row": [], "start": [], "hs": [], "n": []}
             for i, d in _documents(texts):
-                first = d.passages(np.asarray(places[i].values))
-                if len(first):
-                    parts["h"].append(d.runs(first, first + MIN_WORDS).view(np.int64))
-                    parts["doc_id"].append(ids.take(pa.array(np.full(len(first), i))))
-                    parts["k"].append(np.full(len(first), ks[i]))
-                    parts["at"].append(first.astype(np.int32))
-            if parts["h"]:
-                yield _batch(parts, {"h": pa.int64(), "k": pa.int64(), "at": pa.int32()})
-
-    return joined.mapInArrow(run, f"h long, doc_id {id_type}, k long, at int")
-
-
-def spans(passages: DataFrame) -> DataFrame:
+                key, begin, count = d.passages(np.asarray(places[i].values))
+                if len(begin):
+                    first = np.arange(int(count.sum())) + np.repeat(begin - (np.cumsum(count) - count), count)
+                    out["key"].append(key.view(np.int64))
+                    out["row"].append(np.full(len(key), i))
+                    out["start"].append(begin.astype(np.int32))
+                    out["hs"].append(d.runs(first, first + MIN_WORDS).view(np.int64))
+                    out["n"].append(count)
+            if out["key"]:
+                key, row, start, hs, n = (np.concatenate(v) for v in out.values())
+                hs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(hs))
+                columns = [pa.array(key), ids.take(pa.array(row)), pa.array(ks[row]), pa.array(start), hs]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "k", "start", "hs"])
+
+    return joined.mapInArrow(run, f"key long, doc_id {id_type}, k long, start int, hs array<long>")
+
+
+def spans(suffixes: DataFrame) -> DataFrame:
     """doc_id, k, removed, start_word, end_word, first_doc_id: what repeated passages cover; the words [start, end)."""
-    run = Window.partitionBy("h")
-    own = F.struct("doc_id", "k", "at")
-    found = passages.withColumn("lo", F.min(own).over(run)).withColumn("hi", F.max(own).over(run)).where("lo <> hi")
-    found = found.select("doc_id", "k", "at", (own != F.col("lo")).alias("removed"), F.col("lo.doc_id").alias("first_doc_id"))
+    rows = suffixes.repartition("key").select("key", "doc_id", "k", "start", F.posexplode("hs").alias("j", "h"))
+    # Equal passages have equal keys, so that they are sorted and compared where they are.
+    run = Window.partitionBy("key", "h")
+    own = F.struct("doc_id", "k", (F.col("start") + F.col("j")).alias("at"))
+    rows = rows.withColumn("own", own).withColumn("lo", F.min("own").over(run)).withColumn("hi", F.max("own").over(run)).where("lo <> hi")
+    bit, later = F.expr("shiftleft(1L, j)"), F.col("own") != F.col("lo")
+    # A suffix has at most MIN_WORDS - SEED + 1 passages: which of them repeat goes into the bits of one number.
+    masks = rows.groupBy("key", "k", "start").agg(
+        F.first("doc_id").alias("doc_id"),
+        F.coalesce(F.bit_or(F.when(later, bit)), F.lit(0)).cast("long").alias("later"),
+        F.coalesce(F.bit_or(F.when(~later, bit)), F.lit(0)).cast("long").alias("first"),
+        F.min(F.when(later, F.col("lo.doc_id"))).alias("first_doc_id"),
+    )
+    kinds = F.explode(F.array(F.struct(F.lit(True).alias("removed"), F.col("later").alias("mask"), F.col("first_doc_id").alias("of")), F.struct(F.lit(False).alias("removed"), F.col("first").alias("mask"), F.col("doc_id").alias("of"))))
+    found = masks.select("k", "doc_id", "start", kinds.alias("x")).where("x.mask <> 0").select("k", "doc_id", "start", "x.removed", "x.mask", F.col("x.of").alias("first_doc_id"))
+    found = found.repartition("k").withColumn("j", F.explode(F.expr(f"filter(sequence(0, {MIN_WORDS - SEED}), j -> shiftright(mask, j) & 1 = 1)"))).withColumn("at", F.col("start") + F.col("j"))
     by = Window.partitionBy("k", "removed").orderBy("at")
     found = found.withColumn("gap", (F.col("at") - F.lag("at").over(by) > MIN_WORDS).cast("int"))
     found = found.withColumn("island", F.sum(F.coalesce("gap", F.lit(0))).over(by))
-    out = found.groupBy("k", "removed", "island").agg(F.min("doc_id").alias("doc_id"), F.min("at").alias("start_word"), (F.max("at") + MIN_WORDS).alias("end_word"), F.min("first_doc_id").alias("first_doc_id"))
+    out = found.groupBy("k", "removed", "island").agg(F.first("doc_id").alias("doc_id"), F.min("at").alias("start_word"), (F.max("at") + MIN_WORDS).alias("end_word"), F.min("first_doc_id").alias("first_doc_id"))
     return out.select("doc_id", "k", "removed", "start_word", "end_word", "first_doc_id")
 
 
