@@ -3,7 +3,8 @@
 A passage is ``MIN_WORDS`` successive words (runs of anything but ASCII white space and NUL, compared byte by byte). A
 passage is repeated if it also stands elsewhere, in another document or again in the same one. What every repeated
 passage covers is reported; its first occurrence, in the order of (doc_id, key of the row, place), is kept and all
-others can be removed.
+others can be removed. Where an occurrence overlaps its own first one, as in a text that repeats one word, only what lies
+beyond that counts as repeated, so that the first occurrence stays whole.
 
 Of all suffixes only those are retained that begin at a minimiser: the place with the least hash of ``SEED`` words in a
 passage. Two equal passages have the same minimiser at the same offset, so no repeat is lost. Retained suffixes are
@@ -159,21 +160,30 @@ def spans(suffixes: DataFrame) -> DataFrame:
     run = Window.partitionBy("key", "h")
     own = F.struct("doc_id", "k", (F.col("start") + F.col("j")).alias("at"))
     rows = rows.withColumn("own", own).withColumn("lo", F.min("own").over(run)).withColumn("hi", F.max("own").over(run)).where("lo <> hi")
-    bit, later = F.expr("shiftleft(1L, j)"), F.col("own") != F.col("lo")
+    bit, later, end = F.expr("shiftleft(1L, j)"), F.col("own") != F.col("lo"), F.lit(MIN_WORDS)
+    over = later & (F.col("lo.k") == F.col("k")) & F.col("lo.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("own.at") - F.col("lo.at") < MIN_WORDS)
     # A suffix has at most MIN_WORDS - SEED + 1 passages: which of them repeat goes into the bits of one number.
     masks = rows.groupBy("key", "k", "start").agg(
         F.first("doc_id").alias("doc_id"),
-        F.coalesce(F.bit_or(F.when(later, bit)), F.lit(0)).cast("long").alias("later"),
+        F.coalesce(F.bit_or(F.when(later & ~over, bit)), F.lit(0)).cast("long").alias("later"),
         F.coalesce(F.bit_or(F.when(~later, bit)), F.lit(0)).cast("long").alias("first"),
         F.min(F.when(later, F.col("lo.doc_id"))).alias("first_doc_id"),
+        F.collect_list(F.when(over, F.struct((F.col("lo.at") + end).alias("s"), (F.col("own.at") + end).alias("e")))).alias("parts"),
     )
-    kinds = F.explode(F.array(F.struct(F.lit(True).alias("removed"), F.col("later").alias("mask"), F.col("first_doc_id").alias("of")), F.struct(F.lit(False).alias("removed"), F.col("first").alias("mask"), F.col("doc_id").alias("of"))))
-    found = masks.select("k", "doc_id", "start", kinds.alias("x")).where("x.mask <> 0").select("k", "doc_id", "start", "x.removed", "x.mask", F.col("x.of").alias("first_doc_id"))
-    found = found.repartition("k").withColumn("j", F.explode(F.expr(f"filter(sequence(0, {MIN_WORDS - SEED}), j -> shiftright(mask, j) & 1 = 1)"))).withColumn("at", F.col("start") + F.col("j"))
-    by = Window.partitionBy("k", "removed").orderBy("at")
-    found = found.withColumn("gap", (F.col("at") - F.lag("at").over(by) > MIN_WORDS).cast("int"))
-    found = found.withColumn("island", F.sum(F.coalesce("gap", F.lit(0))).over(by))
-    out = found.groupBy("k", "removed", "island").agg(F.first("doc_id").alias("doc_id"), F.min("at").alias("start_word"), (F.max("at") + MIN_WORDS).alias("end_word"), F.min("first_doc_id").alias("first_doc_id"))
+    no_parts = F.array().cast("array<struct<s:int,e:int>>")
+    kinds = F.array(
+        F.struct(F.lit(True).alias("removed"), F.col("later").alias("mask"), F.col("first_doc_id").alias("of"), F.col("parts").alias("parts")),
+        F.struct(F.lit(False).alias("removed"), F.col("first").alias("mask"), F.col("doc_id").alias("of"), no_parts.alias("parts")),
+    )
+    found = masks.select("k", "doc_id", "start", F.explode(kinds).alias("x")).where("x.mask <> 0 or size(x.parts) > 0")
+    found = found.select("k", "doc_id", "start", "x.removed", "x.mask", "x.parts", F.col("x.of").alias("first_doc_id")).repartition("k")
+    whole = F.expr(f"transform(filter(sequence(0, {MIN_WORDS - SEED}), j -> shiftright(mask, j) & 1 = 1), j -> named_struct('s', start + j, 'e', start + j + {MIN_WORDS}))")
+    found = found.select("k", "doc_id", "removed", "first_doc_id", F.explode(F.concat(whole, "parts")).alias("x")).select("k", "doc_id", "removed", "first_doc_id", "x.s", "x.e")
+    by = Window.partitionBy("k", "removed").orderBy("s", "e")
+    reached = F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    found = found.withColumn("gap", (F.col("s") > reached).cast("int"))
+    found = found.withColumn("island", F.sum(F.coalesce("gap", F.lit(0))).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    out = found.groupBy("k", "removed", "island").agg(F.first("doc_id").alias("doc_id"), F.min("s").alias("start_word"), F.max("e").alias("end_word"), F.min("first_doc_id").alias("first_doc_id"))
     return out.select("doc_id", "k", "removed", "start_word", "end_word", "first_doc_id")
 
 
