@@ -15,18 +15,19 @@ import numpy as np
 
 from byteloom.llm import wordhash
 
-#: Longest piece, in units, that the lattice takes; longer ones are for the caller's scalar way.
-LONGEST_PIECE = 120
-_SLOTS = 1 << 21
+_SLOTS = 1 << 20
 
 
 class Lattice:
-    """tokens: each token's units, numbers from 1 up; may_follow(u, t) tells whether t can come after u."""
+    """tokens: each token's units, numbers from 1 to top; may_follow(u, t) tells whether t can come after u.
 
-    def __init__(self, tokens: dict[int, np.ndarray], may_follow: Callable[[int, int], bool], top: int):
+    Pieces have at most longest units, up to 255.
+    """
+
+    def __init__(self, tokens: dict[int, np.ndarray], may_follow: Callable[[int, int], bool], top: int, longest: int):
         self.bits = int(top + 1).bit_length()
         self.per = 63 // self.bits
-        tokens = {i: t for i, t in tokens.items() if len(t) <= LONGEST_PIECE}
+        tokens = {i: t for i, t in tokens.items() if len(t) <= longest}
         self.ids = np.array(list(tokens), np.int64)
         self.lens = np.array([len(t) for t in tokens.values()], np.int64)
         self.len_of = np.zeros(int(self.ids.max()) + 1, np.int64)
@@ -39,6 +40,9 @@ class Lattice:
         full = (1 << self.bits) - 1
         flat[np.arange(flat.shape[1])[None, :] >= self.lens[:, None]] = full
         self.high = self._pack(flat)
+        # Short tokens need fewer blocks compared.
+        need = -(-self.lens // self.per)
+        self.groups = [(int(b), np.flatnonzero(need == b)) for b in np.unique(need)]
         self.may_follow = may_follow
         self.slot_key = np.full(_SLOTS, -1, np.int64)
         self.slot_ok = np.zeros(_SLOTS, bool)
@@ -68,24 +72,26 @@ class Lattice:
             depth *= 2
 
     def _bound(self, key: np.ndarray, suffixes: np.ndarray, goal: np.ndarray, after: bool) -> np.ndarray:
-        """For each goal the number of suffixes below it, or with after those not above it."""
-        lo, hi = np.zeros(len(goal), np.int64), np.full(len(goal), len(suffixes), np.int64)
-        active = np.arange(len(goal))
-        while len(active):
-            mid = (lo[active] + hi[active]) >> 1
-            at = suffixes[mid]
-            less = np.full(len(active), after)
-            for b in range(self.blocks - 1, -1, -1):
-                k, g = key[at + b * self.per], goal[active, b]
-                less = (k < g) | ((k == g) & less)
-            lo[active[less]] = mid[less] + 1
-            hi[active[~less]] = mid[~less]
-            active = active[lo[active] < hi[active]]
+        """For each token's goal the number of suffixes below it, or with after those not above it."""
+        lo = np.zeros(len(goal), np.int64)
+        for blocks, group in self.groups:
+            low, high, own = np.zeros(len(group), np.int64), np.full(len(group), len(suffixes), np.int64), goal[group]
+            for _ in range(len(suffixes).bit_length()):
+                mid = np.minimum((low + high) >> 1, len(suffixes) - 1)
+                at = suffixes[mid]
+                less = np.full(len(group), after)
+                for b in range(blocks - 1, -1, -1):
+                    k, g = key[at + b * self.per], own[:, b]
+                    less = (k < g) | ((k == g) & less)
+                less &= low < high
+                low = np.where(less, mid + 1, low)
+                high = np.where(less, high, np.minimum(high, mid))
+            lo[group] = low
         return lo
 
     def _joined(self, u: np.ndarray, t: np.ndarray) -> np.ndarray:
         pair = u << 24 | t
-        slot = (wordhash.mix(pair.view(np.uint64)) >> np.uint64(64 - 21)).astype(np.int64)
+        slot = (wordhash.mix(pair.view(np.uint64)) >> np.uint64(64 - 20)).astype(np.int64)
         ok = self.slot_ok[slot]
         new = np.flatnonzero(self.slot_key[slot] != pair)
         if len(new):

@@ -19,7 +19,6 @@ from dataclasses import dataclass
 from functools import cache, cached_property
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -213,13 +212,11 @@ def accepted(column: pa.Array, rules: list[Rule]) -> np.ndarray:
 def cascade(t: Column, rules: list[Rule]) -> Column:
     """True for texts that all rules accept."""
 
-    @F.pandas_udf("boolean")
-    def judge(t: pd.Series) -> pd.Series:
-        batch = pa.RecordBatch.from_arrays([pa.Array.from_pandas(t, type=pa.large_string())], ["t"])
-        out = [accepted(b.column(0), rules) for b in common.pieces([batch], 0)]
-        return pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
+    def judge(t: pa.Array) -> pa.Array:
+        out = [accepted(b.column(0), rules) for b in common.pieces([pa.RecordBatch.from_arrays([t], ["t"])], 0)]
+        return pa.array(np.concatenate(out) if out else np.zeros(0, bool), pa.bool_())
 
-    return judge(t)
+    return F.arrow_udf(judge, "boolean")(t)
 
 
 def filter_documents(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from byteloom.llm import chat_format, embedding_dedup, packing, quality, sentencepiece_codec, simhash, suffix_dedup, token_counts, toxicity, url_filter
-from byteloom.llm.common import table
+from byteloom.llm.common import small_batches, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,9 +51,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.filter_documents(table(spark, sf_dir, "documents")).select("doc_id", "lang", "source", "n_chars")
 
 
+def _in_small_batches(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     all_ = (op1_token_counts, op2_suffix_dedup, op3_embedding_dedup, op4_chat_format, op5_sentencepiece, op6_toxicity, op7_best_fit_packing, op8_url_filter, op9_simhash, op10_quality_rules)
-    return {f.__name__: f for f in all_}
+    return {f.__name__: _in_small_batches(f) for f in all_}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -33,8 +33,10 @@ from byteloom.llm.token_counts import TOKENIZERS
 
 MODEL = os.path.join(TOKENIZERS, "piece_bpe_32k.model")
 SPACE = "▁"
+#: Longest unit that the lattice takes.
+LATTICE_PIECE = 120
 #: Units that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 def merged(text: str, score: dict[str, float]) -> list[str]:
@@ -105,7 +107,7 @@ class Codec:
     def lattice(self) -> lattice.Lattice:
         # Runs of spaces have equal scores and stay out: units with several leading spaces are merged one by one.
         tokens = {i: self.number[[ord(c) for c in p]].astype(np.int64) for p, i in self.id.items() if not p.startswith(SPACE * 2)}
-        return lattice.Lattice({i: t for i, t in tokens.items() if t.all()}, self.joins, int(self.number.max()))
+        return lattice.Lattice({i: t for i, t in tokens.items() if t.all()}, self.joins, int(self.number.max()), LATTICE_PIECE)
 
     def _scalar(self, unit: str) -> list[int]:
         out: list[int] = []
@@ -142,7 +144,7 @@ class Codec:
         if len(new):
             one = example[new]
             many = blank[np.minimum(at[one] + 1, len(points) - 1)] & (size[one] > 1)
-            easy = (size[one] <= lattice.LONGEST_PIECE) & ~many & ~lacking[at[one]]
+            easy = (size[one] <= LATTICE_PIECE) & ~many & ~lacking[at[one]]
             units = one[easy]
             values, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             if len(units):
@@ -195,7 +197,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
-        for b in common.pieces(batches, 1, 4 << 20):
+        for b in common.pieces(batches, 1, 1 << 20):
             ids, n = c.encode(b.column(1))
             data, size = c.decode(ids, n)
             source, rows = common.flat(b.column(1))

@@ -231,14 +231,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     (cuts,) = common.fresh(keyed, "cuts")
     found = found.groupBy("k").agg(F.collect_list(F.struct("start_word", "end_word")).alias("cuts")).toDF(key, cuts)
 
-    @F.pandas_udf("string")
-    def edit(text, cuts):  # noqa: ANN001, ANN202
-        return text.combine(cuts, lambda t, c: t if t is None or c is None else without_words(t, [(x["start_word"], x["end_word"]) for x in c]))
+    def edit(text: pa.Array, cuts: pa.Array) -> pa.Array:
+        out = [None if t is None or c is None else without_words(t, [(x["start_word"], x["end_word"]) for x in c]) for t, c in zip(text.to_pylist(), cuts.to_pylist())]
+        return pa.array(out, pa.string())
 
     # Only edited texts go to Python.
     cut = F.col(cuts).isNotNull()
     (new,) = common.fresh(keyed.withColumn(cuts, F.lit(0)), "edited_text")
-    joined = keyed.join(found, key, "left").withColumn(new, edit(F.when(cut, F.col(text_col)), F.col(cuts)))
+    joined = keyed.join(found, key, "left").withColumn(new, F.arrow_udf(edit, "string")(F.when(cut, F.col(text_col)), F.col(cuts)))
     values = {text_col: F.when(cut, F.col(new)).otherwise(F.col(text_col))}
     if n_chars_col in docs.columns:
         values[n_chars_col] = F.when(cut, F.length(new).cast(docs.schema[n_chars_col].dataType)).otherwise(F.col(n_chars_col))

@@ -34,8 +34,11 @@ TOKENIZERS = os.environ.get("BYTELOOM_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = os.path.join(TOKENIZERS, "byte_bpe_50k.tiktoken")
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BUDGETS = (512, 2048, 8192)
-#: Pieces whose counts a worker remembers.
-REMEMBERED = 500_000
+#: Pieces whose tables, and whose sizes, a worker remembers; bytes of text that it takes at once.
+REMEMBERED, REMEMBERED_SIZES = 250_000, 600_000
+TAKEN, TAKEN_SIZES = 1 << 20, 1 << 19
+#: Longest piece that the lattice takes. Longer ones are rare, and long tokens would only deepen its suffix array.
+LATTICE_PIECE = 28
 
 
 class Pieces:
@@ -76,18 +79,18 @@ class Counter:
         self.prefixes = prefix_bpe.PrefixCounter(rank, self.encode)
         self.rank = rank
         self.known = lattice.Remembered(REMEMBERED, np.int32)
-        self.sizes = lattice.Remembered(4 * REMEMBERED, np.int32)
+        self.sizes = lattice.Remembered(REMEMBERED_SIZES, np.int32)
 
     @cached_property
     def lattice(self) -> lattice.Lattice:
         tokens = {r: np.frombuffer(t, np.uint8).astype(np.int64) + 1 for t, r in self.rank.items()}
-        return lattice.Lattice(tokens, self.prefixes.joins, 256)
+        return lattice.Lattice(tokens, self.prefixes.joins, 256, LATTICE_PIECE)
 
     def _tables(self, pieces: Pieces, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts after each character of the new pieces, joined, and the characters of each."""
         example = pieces.example[new]
         n = pieces.end[example] - pieces.start[example]
-        short = np.flatnonzero(n <= lattice.LONGEST_PIECE)
+        short = np.flatnonzero(n <= LATTICE_PIECE)
         tables: list = [None] * len(new)
         if len(short):
             size = n[short] + 1
@@ -108,7 +111,7 @@ class Counter:
                 return self._contractions(pieces, example, flat, chars)
             for i, t in zip(short.tolist(), np.split(flat, np.cumsum(chars)[:-1])):
                 tables[i] = t
-        for i in np.flatnonzero(n > lattice.LONGEST_PIECE).tolist():
+        for i in np.flatnonzero(n > LATTICE_PIECE).tolist():
             piece = pieces.bytes(example[i])
             count = np.array(self.prefixes(piece)[1:], np.int32)
             tables[i] = count[np.append((np.frombuffer(piece, np.uint8)[1:] & 0xC0) != 0x80, True)]
@@ -185,7 +188,7 @@ def prefix_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(vocabulary)
         names = ["doc_id", "n_tokens", "prefix_table", *(f"chars_{b}" for b in budgets)]
-        for batch in common.pieces(batches, 1, 4 << 20):
+        for batch in common.pieces(batches, 1, TAKEN):
             out: list[list] = [[] for _ in names[1:]]
             for null, counts in zip(batch.column(1).is_null().to_pylist(), c.prefix_counts(batch.column(1))):
                 if null:
@@ -206,7 +209,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(vocabulary)
-        for b in common.pieces(batches, 2, 4 << 20):
+        for b in common.pieces(batches, 2, TAKEN_SIZES):
             n = pa.array(c.counts(b.column(2)), pa.int64(), mask=b.column(2).is_null().to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n], ["doc_id", "k", "n_tokens"])
 

@@ -7,32 +7,37 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from byteloom.llm import packing, quality, simhash, suffix_dedup, toxicity
-from byteloom.llm.common import shared_folder, table
+from byteloom.llm.common import shared_folder, small_batches, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier calls toxic go. It learns from the labels and the documents in sf_dir."""
+    small_batches(spark)
     model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return toxicity.filter_documents(docs, model)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a quality rule rejects go."""
+    small_batches(spark)
     return quality.filter_documents(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the lowest doc_id stays."""
+    small_batches(spark)
     return simhash.dedup_documents(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words that stand earlier are cut out of the texts."""
+    small_batches(spark)
     return suffix_dedup.remove_repeats(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's places in bins of 2048 tokens."""
+    small_batches(spark)
     return packing.pack_documents(docs)
 
 
@@ -50,6 +55,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the documents in sf_dir. Stages are written to the shared checkpoint folder."""
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
