@@ -7,7 +7,7 @@ import json
 import os
 import sys
 
-from pyspark.sql import SparkSession, Window
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from byteloom import model as models
@@ -123,12 +123,15 @@ def _train(args: argparse.Namespace) -> None:
 
 def _chunk_train(args: argparse.Namespace) -> None:
     spark = _session(args)
-    files = sources.binary_files(spark, args.inputs, Ingest(args.chunk_size, not args.no_recursive, args.follow_symlinks))
+    ingest = Ingest(args.chunk_size, not args.no_recursive, args.follow_symlinks)
     if args.chunk_size <= 0:
         raise SystemExit("chunks have a size")
-    # Chunks are numbered by file and place. Their number is that of files' pieces, far below that of rows elsewhere.
-    index = F.row_number().over(Window.orderBy("source", "chunk_index")) - 1
-    result = chunked.train_chunks(files.withColumn("index", index), _config(args), args.combine_mode, args.duplicates, args.min_entropy, args.max_entropy)
+    # Chunks are numbered by the place of their file in sorted order, and by their place in it.
+    paths = [(os.path.abspath(p), i) for i, p in enumerate(sources.list_paths(args.inputs, ingest))]
+    places = spark.createDataFrame(paths, "path string, place long")
+    files = sources.binary_files(spark, args.inputs, ingest).withColumn("path", F.regexp_replace("source", "^file:/+", "/")).join(places, "path")
+    chunks = files.select((F.col("place") * (1 << 24) + F.col("chunk_index")).alias("index"), "content")
+    result = chunked.train_chunks(chunks, _config(args), args.combine_mode, args.duplicates, args.min_entropy, args.max_entropy)
     _saved(result.model, args)
     if args.report:
         with open(args.report, "w") as f:

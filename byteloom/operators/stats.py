@@ -53,9 +53,11 @@ def deduplicated(df: DataFrame, index: str, content: str = "content") -> DataFra
 
 def chunk_weights(df: DataFrame) -> DataFrame:
     """df (byte_len, entropy, ...) with weight, which sums to 1: clamped entropy times clamped root of the relative length."""
-    everything = Window.partitionBy()
     base = F.greatest(F.lit(0.1), F.least(F.lit(1.0), F.col("entropy") / 8))
-    relative = F.greatest(F.lit(0.5), F.least(F.lit(2.0), F.sqrt(F.col("byte_len") / F.avg("byte_len").over(everything))))
-    raw = df.withColumn("weight", base * relative)
-    total = F.sum("weight").over(everything)
-    return raw.withColumn("weight", F.when(total > 0, F.col("weight") / total).otherwise(1.0 / F.count("*").over(everything)))
+    one = df.agg(F.avg("byte_len").alias("_mean"))
+    relative = F.greatest(F.lit(0.5), F.least(F.lit(2.0), F.sqrt(F.col("byte_len") / F.col("_mean"))))
+    # The totals are one row each.
+    raw = df.crossJoin(F.broadcast(one)).withColumn("weight", base * relative).drop("_mean")
+    two = raw.agg(F.sum("weight").alias("_total"), F.count("*").alias("_n"))
+    share = F.when(F.col("_total") > 0, F.col("weight") / F.col("_total")).otherwise(1.0 / F.col("_n"))
+    return raw.crossJoin(F.broadcast(two)).withColumn("weight", share).drop("_total", "_n")
