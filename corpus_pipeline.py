@@ -53,8 +53,16 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the documents in sf_dir. Stages are written to the shared checkpoint folder."""
+    """The last stage's rows for the documents in sf_dir.
+
+    Stages are written to the shared checkpoint folder; one that the next has read to its end is deleted.
+    """
     small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
@@ -62,4 +70,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{folder}/{i}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if i:
+            _delete(spark, f"{folder}/{i - 1}")
     return docs
