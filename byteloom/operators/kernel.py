@@ -77,22 +77,28 @@ class Decider:
 
 
 def train_words(words: Iterable[tuple[str, int]], config: TrainerConfig) -> Trained:
-    """Trains on (Latin-1 word, weight) rows with an index of the words that hold each pair."""
+    """Trains on (Latin-1 word, weight) rows with an index of the words that hold each pair.
+
+    Words stay strings of one character a token and pairs are strings of two, which sort as their ids do.
+    """
     decider = Decider(config)
-    tokens: list[list[int]] = []
+    texts: list[str] = []
     weights: list[int] = []
-    for word, weight in words:
-        tokens.append([layout.FIRST_BYTE + ord(c) for c in word])
+    counts: dict[str, int] = defaultdict(int)
+    where: dict[str, set[int]] = defaultdict(set)
+    for i, (word, weight) in enumerate(words):
+        texts.append(word)
         weights.append(weight)
-    counts: dict[tuple[int, int], int] = defaultdict(int)
-    where: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for i, w in enumerate(tokens):
-        for pair in zip(w, w[1:]):
-            counts[pair] += weights[i]
+        for pair in map("".join, zip(word, word[1:])):
+            counts[pair] += weight
             where[pair].add(i)
-    heap = [(-n, p) for p, n in counts.items() if n >= config.min_frequency and decider.fits(p)]
+
+    def ids(pair: str) -> tuple[int, int]:
+        return layout.id_of(pair[0]), layout.id_of(pair[1])
+
+    heap = [(-n, p) for p, n in counts.items() if n >= config.min_frequency and decider.fits(ids(p))]
     heapq.heapify(heap)
-    gone: set[tuple[int, int]] = set()
+    gone: set[str] = set()
     live = len(counts)
     while True:
         stop = decider.full()
@@ -108,7 +114,7 @@ def train_words(words: Iterable[tuple[str, int]], config: TrainerConfig) -> Trai
             break
         n, pair = heapq.heappop(heap)
         n = -n
-        verdict = decider.judge(pair, n)
+        verdict = decider.judge(ids(pair), n)
         if verdict == "stop":
             stop = PLATEAU
             break
@@ -116,38 +122,32 @@ def train_words(words: Iterable[tuple[str, int]], config: TrainerConfig) -> Trai
             gone.add(pair)
             live -= 1
             continue
-        token = len(decider.out.tokens)
-        a, b = pair
-        applied, changed = 0, set()
+        token = layout.char_of(len(decider.out.tokens))
+        applied, delta = 0, defaultdict(int)
         for i in where.pop(pair):
-            w = tokens[i]
-            new: list[int] = []
-            k = 0
-            while k < len(w):
-                if w[k] == a and k + 1 < len(w) and w[k + 1] == b:
-                    new.append(token)
-                    k += 2
-                else:
-                    new.append(w[k])
-                    k += 1
-            if len(new) == len(w):
+            old, weight = texts[i], weights[i]
+            new = old.replace(pair, token)
+            if new is old or len(new) == len(old):
                 continue
-            applied += weights[i] * (len(w) - len(new))
-            for p in zip(new, new[1:]):
-                live += counts[p] == 0 and p not in gone
-                counts[p] += weights[i]
+            applied += weight * (len(old) - len(new))
+            for p in map("".join, zip(old, old[1:])):
+                delta[p] -= weight
+            for p in map("".join, zip(new, new[1:])):
+                delta[p] += weight
                 if token in p:
                     where[p].add(i)
-                    changed.add(p)
-            for p in zip(w, w[1:]):
-                counts[p] -= weights[i]
-                live -= counts[p] == 0 and p not in gone
-            tokens[i] = new
+            texts[i] = new
+        for p, d in delta.items():
+            if d:
+                before = counts[p]
+                counts[p] = before + d
+                if p not in gone:
+                    live += (before + d > 0) - (before > 0)
         left = counts.pop(pair, 0)
         live -= left > 0
-        decider.merge(pair, n, applied, live)
-        for p in changed:
-            if counts[p] >= config.min_frequency and decider.fits(p):
+        decider.merge(ids(pair), n, applied, live)
+        for p, d in delta.items():
+            if token in p and counts[p] >= config.min_frequency and decider.fits(ids(p)):
                 heapq.heappush(heap, (-counts[p], p))
     decider.out.stop_reason = stop
     return decider.out
