@@ -22,7 +22,7 @@ def byte_histogram(df: DataFrame, content: str = "content") -> DataFrame:
 def entropy_of(content: Column) -> Column:
     """Bits a byte of one value, by counting each byte's runs in its sorted hex; 0 for no bytes. No shuffle."""
     n = F.octet_length(content).cast("double")
-    ordered = F.array_join(F.array_sort(F.split(latin1(content), "")), "")
+    ordered = F.array_join(F.sort_array(F.split(latin1(content), "")), "")
     # Runs of equal characters in the sorted text are the cells of the histogram.
     cells = F.transform(F.regexp_extract_all(ordered, F.lit(r"(?s)((.)\2*+)"), F.lit(1)), lambda r: F.length(r).cast("double"))
     total = F.aggregate(cells, F.lit(0.0), lambda a, c: a + c * F.log2(c))
