@@ -224,7 +224,8 @@ def verified(rows: DataFrame, limit: int = MAX_DISTANCE) -> DataFrame:
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """k, root: for every node of the pairs (u, v), the lowest node of its connected component, by alternating stars."""
-    e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    # Each round reads the pairs twice; cut, so that finding them isn't done twice.
+    e = common.cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     for _ in range(rounds):
         both = e.union(e.select("v", "u").toDF("u", "v"))
