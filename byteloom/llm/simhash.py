@@ -4,8 +4,8 @@ A document's signature has 256 bits: each bigram of its words votes with the bit
 letters and digits of the lower-cased text; a text with one word has that word for its feature. Signatures are compared
 through several tables. Each table samples some of the 256 coordinates at random, equal samples form a bucket, and
 within a bucket candidates are verified by their Hamming distance. The more signatures there are, the more coordinates
-a table samples, so that a bucket holds few unrelated ones; the number of tables follows from that and from the recall
-wanted. A bucket of more than ``cap`` signatures is divided by ``EXTRA_BITS`` further coordinates, in ``EXTRA_TABLES``
+a table samples, so that a bucket holds some 1,000 unrelated ones at most; the number of tables follows from that and from
+the recall wanted at the largest distance that counts as near. A bucket of more than ``cap`` signatures is divided by ``EXTRA_BITS`` further coordinates, in ``EXTRA_TABLES``
 independent ways, again and again until none is larger: no signature is dropped. Verified pairs are joined into groups
 (connected components), of which the row with the lowest (doc_id, key of the row) stays.
 
@@ -29,8 +29,8 @@ from byteloom.llm import common, wordhash
 BITS = 256
 #: Largest distance of near-duplicates, in bits.
 MAX_DISTANCE = 54
-#: Distance for which the tables are planned, and the recall that they have there.
-PLANNED_DISTANCE, RECALL = 36, 0.97
+#: Distance for which the tables are planned, and the recall of pairs that they have there; nearer pairs have more.
+PLANNED_DISTANCE, RECALL = MAX_DISTANCE, 0.97
 CAP, EXTRA_BITS, EXTRA_TABLES = 20_000, 16, 2
 #: Buckets up to this size have all their pairs compared; in a larger one every member is compared with group leaders.
 ALL_PAIRS = 256
@@ -87,8 +87,9 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def plan(n: int, distance: int = PLANNED_DISTANCE, recall: float = RECALL) -> tuple[int, int]:
     """Bits that a table samples and number of tables for n signatures."""
-    bits = min(60, max(10, math.ceil(math.log2(max(2, n))) - 6))
-    hit = (1 - distance / BITS) ** bits
+    bits = min(60, max(4, math.ceil(math.log2(max(2, n))) - 10))
+    # Coordinates are sampled without replacement.
+    hit = math.comb(BITS - max(1, distance), bits) / math.comb(BITS, bits)
     return bits, max(4, math.ceil(math.log(1 - recall) / math.log(1 - hit)))
 
 
@@ -243,12 +244,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_DISTANCE, cap: int = CAP, distance: int = PLANNED_DISTANCE, recall: float = RECALL
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_DISTANCE, cap: int = CAP, distance: int | None = None, recall: float = RECALL
 ) -> DataFrame:
-    """doc_id, k, kept_doc_id, kept_k: for each document that a near-duplicate replaces, the one that stays for its group."""
+    """doc_id, k, kept_doc_id, kept_k: for each document that a near-duplicate replaces, the one that stays for its group.
+
+    The tables are planned for the given recall at the given distance, or else at limit.
+    """
     sigs = signatures(docs, id_col, text_col).persist()
     reps = common.cut(sigs.groupBy("sig").agg(F.min(F.struct("doc_id", "k")).alias("rep")).select("sig", "rep", F.col("rep.k").alias("k")))
-    bits, tables = plan(reps.count(), distance, recall)
+    bits, tables = plan(reps.count(), limit if distance is None else distance, recall)
     roots = components(verified(capped(bucket_rows(reps, bits, tables), cap), limit))
     reps = reps.join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
     reps = reps.withColumn("kept", F.min("rep").over(Window.partitionBy("root"))).select("sig", "kept")
