@@ -5,9 +5,9 @@ letters and digits of the lower-cased text; a text with one word has that word f
 through several tables. Each table samples some of the 256 coordinates at random, equal samples form a bucket, and
 within a bucket candidates are verified by their Hamming distance. The more signatures there are, the more coordinates
 a table samples, so that a bucket holds some 1,000 unrelated ones at most; the number of tables follows from that and from
-the recall wanted at the largest distance that counts as near. A bucket of more than ``cap`` signatures is divided by ``EXTRA_BITS`` further coordinates, in ``EXTRA_TABLES``
-independent ways, again and again until none is larger: no signature is dropped. Verified pairs are joined into groups
-(connected components), of which the row with the lowest (doc_id, key of the row) stays.
+the recall wanted at the largest distance that counts as near. A bucket of more than ``cap`` signatures is cut into blocks of
+``cap`` / 2, and every two of its blocks are compared as a bucket: no signature and no pair is left out. Verified pairs are
+joined into groups (connected components), of which the row with the lowest (doc_id, key of the row) stays.
 
 Defined cases. A null or empty text, or one without letters and digits, has no signature and is near nothing. Rows equal
 in doc_id and text are one document and are not listed; ``dedup_documents`` keeps one of them. Texts with equal signatures
@@ -31,7 +31,7 @@ BITS = 256
 MAX_DISTANCE = 54
 #: Distance for which the tables are planned, and the recall of pairs that they have there; nearer pairs have more.
 PLANNED_DISTANCE, RECALL = MAX_DISTANCE, 0.97
-CAP, EXTRA_BITS, EXTRA_TABLES = 20_000, 16, 2
+CAP = 20_000
 #: Buckets up to this size have all their pairs compared; in a larger one every member is compared with group leaders.
 ALL_PAIRS = 256
 _LANES = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)).copy().view(np.uint64)[:, 0]
@@ -125,35 +125,17 @@ def bucket_rows(reps: DataFrame, bits: int, tables: int) -> DataFrame:
     return reps.select("k", "sig").mapInArrow(run, "key long, k long, sig binary")
 
 
-def _divided(rows: DataFrame, level: int) -> DataFrame:
-    """Each row of an oversized bucket under EXTRA_TABLES keys that have further bits."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = [_sample(EXTRA_BITS, level, t, 1) for t in range(EXTRA_TABLES)]
-        for batch in batches:
-            if batch.num_rows:
-                b = _bits(batch.column(2))
-                old = np.asarray(batch.column(0)).view(np.uint64)
-                for t in range(EXTRA_TABLES):
-                    key = wordhash.mix(old ^ wordhash.mix(_keys(b, at[t]).view(np.uint64), 1000 * level + t), 77).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(1), batch.column(2)], ["key", "k", "sig"])
-
-    return rows.select("key", "k", "sig").mapInArrow(run, "key long, k long, sig binary")
-
-
 def capped(rows: DataFrame, cap: int = CAP) -> DataFrame:
-    """The bucket rows with oversized buckets divided. After 256 / EXTRA_BITS levels a bucket is taken as it is."""
-    done: list[DataFrame] = []
-    for level in range(1, BITS // EXTRA_BITS + 1):
-        big = rows.groupBy("key").count().where(F.col("count") > cap).select("key")
-        big = common.cut(big)
-        if big.isEmpty():
-            break
-        done.append(rows.join(big, "key", "left_anti"))
-        rows = _divided(rows.join(big, "key", "left_semi"), level)
-    for part in done:
-        rows = rows.unionByName(part)
-    return rows
+    """The bucket rows; in place of a bucket of more than cap rows there is one for every two of its blocks of about cap / 2."""
+    big = rows.groupBy("key").count().where(F.col("count") > cap).select("key", F.ceil(F.col("count") * 2 / cap).alias("blocks"))
+    big = common.cut(big)
+    if big.isEmpty():
+        return rows
+    big = F.broadcast(big)
+    own = rows.join(big, "key").withColumn("own", F.pmod(F.xxhash64(F.lit(cap), "k"), "blocks"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("own <> other")
+    two = own.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "k", "sig")
+    return rows.join(big, "key", "left_anti").select("key", "k", "sig").unionByName(two)
 
 
 def pairs_of(key: np.ndarray, sig: np.ndarray, limit: int = MAX_DISTANCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -108,6 +108,15 @@ def test_recall_of_the_plan_for_15_million_over_all_distances():
         assert met.mean() >= 0.955, d  # 0.97 less four standard errors
 
 
+def test_isolated_pairs_in_an_oversized_bucket_are_found(spark):
+    sig = pairs_at(np.random.default_rng(3), [20, 36, 45, simhash.MAX_DISTANCE] * 75)
+    rows = spark.createDataFrame([(7, k, x.tobytes()) for k, x in enumerate(sig)], "key long, k long, sig binary")
+    parts = simhash.capped(rows, cap=50)
+    assert max(r["count"] for r in parts.groupBy("key").count().collect()) < 100
+    found = {tuple(sorted(r)) for r in simhash.verified(parts).collect()}
+    assert found == {(2 * i, 2 * i + 1) for i in range(300)}
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     found = {r.k: r.root for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
