@@ -3,7 +3,7 @@
 A document's signature has 256 bits: each bigram of its words votes with the bits of its hash. Words are the runs of
 letters and digits of the lower-cased text; a text with one word has that word for its feature. Signatures are compared
 through several tables. Each table samples some of the 256 coordinates at random, equal samples form a bucket, and
-within a bucket candidates are verified by their Hamming distance. The more signatures there are, the more coordinates
+within a bucket all pairs are compared by their Hamming distance. The more signatures there are, the more coordinates
 a table samples, so that a bucket holds some 1,000 unrelated ones at most; the number of tables follows from that and from
 the recall wanted at the largest distance that counts as near. A bucket of more than ``cap`` signatures is cut into blocks of
 ``cap`` / 2, and every two of its blocks are compared as a bucket: no signature and no pair is left out. Verified pairs are
@@ -32,8 +32,8 @@ MAX_DISTANCE = 54
 #: Distance for which the tables are planned, and the recall of pairs that they have there; nearer pairs have more.
 PLANNED_DISTANCE, RECALL = MAX_DISTANCE, 0.97
 CAP = 20_000
-#: Buckets up to this size have all their pairs compared; in a larger one every member is compared with group leaders.
-ALL_PAIRS = 256
+#: Of buckets up to this size all near pairs are given; of a larger one, those that join its components.
+ALL_PAIRS = 64
 _LANES = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)).copy().view(np.uint64)[:, 0]
 
 
@@ -138,11 +138,35 @@ def capped(rows: DataFrame, cap: int = CAP) -> DataFrame:
     return rows.join(big, "key", "left_anti").select("key", "k", "sig").unionByName(two)
 
 
+def _joining(sig: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Near pairs that join the components of the rows, found by comparing every row with all that follow."""
+    n = len(sig)
+    words = [np.ascontiguousarray(x) for x in sig.T]
+    label, pairs = np.arange(n), [np.zeros((2, 0), np.int64)]
+    step = max(8, min(256, (1 << 15) // n))
+    for s in range(0, n, step):
+        d = [np.bitwise_count(w[s : s + step, None] ^ w[s:]) for w in words]
+        d[0] += d[1]
+        d[2] += d[3]
+        a, b = np.divmod(np.flatnonzero(np.add(d[0], d[2], dtype=np.uint16) <= limit), n - s)
+        a, b = a + s, b + s
+        while len(at := np.flatnonzero(label[a] != label[b])):
+            a, b = a[at], b[at]
+            # Each label that meets a lower one gets below it by one pair, which makes no ring.
+            high, first = np.unique(np.maximum(label[a], label[b]), return_index=True)
+            pairs.append(np.stack([np.minimum(a, b)[first], np.maximum(a, b)[first]]))
+            below = np.arange(n)
+            below[high] = np.minimum(label[a], label[b])[first]
+            while (below[below] != below).any():
+                below = below[below]
+            label = below[label]
+    return tuple(np.concatenate(pairs, axis=1))
+
+
 def pairs_of(key: np.ndarray, sig: np.ndarray, limit: int = MAX_DISTANCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row numbers of verified pairs, the earlier row first. key is sorted; sig has four 64-bit words a row.
 
-    Every row that has a partner within the limit in its bucket is in some pair: in large buckets a row that no earlier
-    leader caught leads itself and is compared with all.
+    All pairs of a bucket are compared. Those given of a bucket have the components that all of its near pairs have.
     """
     new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
     size = np.diff(np.append(new, len(key)))
@@ -157,19 +181,8 @@ def pairs_of(key: np.ndarray, sig: np.ndarray, limit: int = MAX_DISTANCE) -> Ite
         lag += 1
         at = at[left[at] >= lag]
     for s, n in zip(new[size > ALL_PAIRS].tolist(), size[size > ALL_PAIRS].tolist()):
-        own, free = sig[s : s + n], np.ones(n, bool)
-        lead = 0
-        while lead < n:
-            near = np.bitwise_count(own ^ own[lead]).sum(axis=1) <= limit
-            near[lead] = False
-            hit = np.flatnonzero(near)
-            yield np.minimum(hit, lead) + s, np.maximum(hit, lead) + s
-            free[lead] = False
-            free &= ~near
-            rest = np.flatnonzero(free[lead + 1 :])
-            if not len(rest):
-                break
-            lead += 1 + int(rest[0])
+        a, b = _joining(sig[s : s + n], limit)
+        yield a + s, b + s
 
 
 def verified(rows: DataFrame, limit: int = MAX_DISTANCE) -> DataFrame:

@@ -117,6 +117,29 @@ def test_isolated_pairs_in_an_oversized_bucket_are_found(spark):
     assert found == {(2 * i, 2 * i + 1) for i in range(300)}
 
 
+def test_chains_in_large_buckets_stay_together():
+    rng = np.random.default_rng(5)
+    links, ways = 7, 60
+    bits = np.repeat(rng.integers(0, 2, (ways, 256), dtype=np.uint8), links, axis=0)
+    for i in range(ways):
+        flips = rng.permutation(256)
+        for j in range(links):  # neighbours are 30 bits apart, others 60 and more
+            bits[links * i + j, flips[: 30 * j]] ^= 1
+    order = rng.permutation(len(bits))
+    sig = np.packbits(bits[order], axis=1).view(np.uint64)
+    pairs = [p for a, b in simhash.pairs_of(np.zeros(len(sig), np.int64), sig) for p in zip(a.tolist(), b.tolist())]
+    d = np.bitwise_count(sig[:, None] ^ sig[None]).sum(axis=2)
+    assert all(a < b and d[a, b] <= simhash.MAX_DISTANCE for a, b in pairs)
+    root = list(range(len(sig)))
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    groups = {}
+    for i, r in enumerate(root):
+        groups.setdefault(r, set()).add(int(order[i]) // links)
+    assert len(groups) == ways and all(len(g) == 1 for g in groups.values())
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     found = {r.k: r.root for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
