@@ -4,9 +4,8 @@ Vectors are compared by their cosine. Each is described by the ordered list of t
 vectors drawn from the table - that it is closest to. Inverted lists are kept for pairs of pivots: two vectors that share
 at least two pivots meet in a list. For those that meet the pivots shared are counted, and from ``MIN_SHARED`` on they are
 verified by their exact cosine. A list of more than ``CAP`` vectors is divided by a third pivot, which loses no vectors
-that share three. In a list every vector is a query; those that an earlier one has caught aren't compared with one
-another, as they are in its group already. Verified pairs are joined into groups (connected components), of which the
-lowest id stays.
+that share three. In a list every vector is a query, compared with all that follow; of the near pairs those that join
+components of the list are kept. Verified pairs are joined into groups (connected components), of which the lowest id stays.
 
 The number of pivots grows with the table up to ``MAX_PIVOTS``, which bounds what is sent to the executors. Vectors that
 were made from one another at the least similarity meet with probability above 0.95 (see the tests).
@@ -32,6 +31,8 @@ SIMILARITY = 0.95
 NEAREST, MIN_SHARED = 7, 3
 MIN_PIVOTS, MAX_PIVOTS, ROWS_PER_PIVOT = 32, 1024, 128
 CAP = 20_000
+#: Pairs of a list that are compared at once.
+BLOCK = 1 << 18
 
 
 def vectors_of(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -100,19 +101,19 @@ def _divided(lists: DataFrame, cap: int) -> DataFrame:
     return lists.join(big, "key", "left_anti").select("key", "k", "pivots", "vec").union(third)
 
 
-def pairs_of(described: np.ndarray, vec: np.ndarray, similarity: float, min_shared: int) -> Iterator[tuple[np.ndarray, int]]:
-    """In one list, for each query that no earlier one caught, the rows that it is near to, and the query."""
-    free = np.ones(len(vec), bool)
-    for q in range(len(vec)):
-        if not free[q]:
-            continue
-        shared = (described[:, :, None] == described[q][None, None, :]).any(axis=2).sum(axis=1)
-        at = np.flatnonzero(shared >= min_shared)
-        at = at[at != q]
-        near = at[vec[at] @ vec[q] >= similarity]
-        free[near] = False
-        if len(near):
-            yield near, q
+def pairs_of(described: np.ndarray, vec: np.ndarray, similarity: float, min_shared: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """In one list, where all rows are compared with one another, the near pairs that join its components."""
+    n, label = len(vec), np.arange(len(vec))
+    step = max(1, min(n, BLOCK // n))
+    for s in range(0, n, step):
+        a, b = np.divmod(np.flatnonzero(vec[s : s + step] @ vec[s:].T >= similarity), n - s)
+        a, b = a + s, b + s
+        at = np.flatnonzero((a < b) & (label[a] != label[b]))
+        a, b = a[at], b[at]
+        shared = (described[a][:, :, None] == described[b][:, None, :]).any(axis=2).sum(axis=1) >= min_shared
+        label, (a, b) = simhash.joined(label, a[shared], b[shared])
+        if len(a):
+            yield a, b
 
 
 def _verified(lists: DataFrame, similarity: float, min_shared: int) -> DataFrame:
@@ -125,9 +126,9 @@ def _verified(lists: DataFrame, similarity: float, min_shared: int) -> DataFrame
             bounds = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key)).tolist()
             u, v = [], []
             for a, b in zip(bounds, bounds[1:]):
-                for near, q in pairs_of(described[a:b], vec[a:b], similarity, min_shared):
-                    u.append(k[a:b][near])
-                    v.append(np.full(len(near), k[a + q]))
+                for x, y in pairs_of(described[a:b], vec[a:b], similarity, min_shared):
+                    u.append(k[a + x])
+                    v.append(k[a + y])
             if u:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
 

@@ -138,28 +138,36 @@ def capped(rows: DataFrame, cap: int = CAP) -> DataFrame:
     return rows.join(big, "key", "left_anti").select("key", "k", "sig").unionByName(two)
 
 
+def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The labels of components once the pairs (a, b), a < b, join them, and the pairs (2 x n) that did."""
+    pairs = [np.zeros((2, 0), np.int64)]
+    while len(at := np.flatnonzero(label[a] != label[b])):
+        a, b = a[at], b[at]
+        # Each label that meets a lower one gets below it by one pair, which makes no ring.
+        high, first = np.unique(np.maximum(label[a], label[b]), return_index=True)
+        pairs.append(np.stack([a[first], b[first]]))
+        below = np.arange(len(label))
+        below[high] = np.minimum(label[a], label[b])[first]
+        while (below[below] != below).any():
+            below = below[below]
+        label = below[label]
+    return label, np.concatenate(pairs, axis=1)
+
+
 def _joining(sig: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Near pairs that join the components of the rows, found by comparing every row with all that follow."""
     n = len(sig)
     words = [np.ascontiguousarray(x) for x in sig.T]
-    label, pairs = np.arange(n), [np.zeros((2, 0), np.int64)]
+    label, pairs = np.arange(n), []
     step = max(8, min(256, (1 << 15) // n))
     for s in range(0, n, step):
         d = [np.bitwise_count(w[s : s + step, None] ^ w[s:]) for w in words]
         d[0] += d[1]
         d[2] += d[3]
         a, b = np.divmod(np.flatnonzero(np.add(d[0], d[2], dtype=np.uint16) <= limit), n - s)
-        a, b = a + s, b + s
-        while len(at := np.flatnonzero(label[a] != label[b])):
-            a, b = a[at], b[at]
-            # Each label that meets a lower one gets below it by one pair, which makes no ring.
-            high, first = np.unique(np.maximum(label[a], label[b]), return_index=True)
-            pairs.append(np.stack([np.minimum(a, b)[first], np.maximum(a, b)[first]]))
-            below = np.arange(n)
-            below[high] = np.minimum(label[a], label[b])[first]
-            while (below[below] != below).any():
-                below = below[below]
-            label = below[label]
+        after = a < b
+        label, new = joined(label, a[after] + s, b[after] + s)
+        pairs.append(new)
     return tuple(np.concatenate(pairs, axis=1))
 
 

@@ -89,6 +89,18 @@ def test_recall_against_brute_force(spark):
         assert sum(found.get(k) == x for k, x in expected.items()) >= 0.95 * len(expected)
 
 
+def test_chains_of_similar_vectors_stay_together(spark):
+    rows = []
+    for plane in range(24):
+        for i in range(4):  # neighbours are 17 degrees apart, cosine 0.956; others 34 and more
+            v = np.zeros(48)
+            v[2 * plane], v[2 * plane + 1] = np.cos(np.radians(17 * i)), np.sin(np.radians(17 * i))
+            rows.append((4 * plane + i, v.tolist()))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {r.vec_id: r.kept_vec_id for r in embedding_dedup.near_duplicates(df).collect()}
+    assert found == {i: i - i % 4 for i in range(96) if i % 4}
+
+
 def test_odd_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [1.0, None]), (8, [1.0, 0.0, 0.0]), (None, [1.0, 0.001]), (1, [1.0, 0.0]), (9, [0.0, 1.0]), (10, [float("inf"), 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("k", F.lit(1)).withColumn("vec", F.lit(1))
