@@ -1,4 +1,4 @@
-"""Repeated passages by a sparse suffix array.
+"""Repeated passages by sparse suffixes, grouped by hashes.
 
 A passage is ``MIN_WORDS`` successive words (runs of anything but ASCII white space and NUL, compared byte by byte). A
 passage is repeated if it also stands elsewhere, in another document or again in the same one. What every repeated
@@ -8,12 +8,12 @@ beyond that counts as repeated, so that the first occurrence stays whole.
 
 Of all suffixes only those are retained that begin at a minimiser: the place with the least hash of ``SEED`` words in a
 passage. Two equal passages have the same minimiser at the same offset, so no repeat is lost. Retained suffixes are
-sorted by a stretch of ``REACH`` words around the minimiser - that to the right for passages that lie mostly to its
-right, that to the left for the others - and compared with their neighbours. Those with an equal neighbour are extended
-left and right in their documents to the passages around the minimiser. The extended passages of a suffix travel in one
-row, to where all suffixes with the same stretch are; there they are sorted and neighbours compared once more, which leaves
-exactly the repeated ones. Both sorts are keyed by 64-bit hashes, so a passage that a great many documents share is one
-sorted run, which can spill, and never a set of pairs.
+grouped by the 64-bit hash of a stretch of ``REACH`` words around the minimiser - that to the right for passages that lie
+mostly to its right, that to the left for the others. For those that aren't alone in their group all passages around the
+minimiser are hashed in their documents. The passages of a suffix travel in one row, to where all suffixes with the same
+stretch are; there they are grouped by their 64-bit hashes, which leaves the repeated ones. Suffixes are neither put in the
+order of their words nor extended word by word, as only the equality of stretches of fixed length counts. A passage that a
+great many documents share is one sorted run, which can spill, and never a set of pairs.
 
 Defined cases. Texts of fewer than MIN_WORDS words, null and empty ones included, have no passage. Rows equal in doc_id
 and text are one document: they don't repeat each other and are edited alike. A null doc_id is an id of its own, lowest
