@@ -57,8 +57,13 @@ def render(final: DataFrame) -> DataFrame:
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """The log of a table of turns (conv_id, turn, role, text): each turn's message begins empty and is streamed by lines."""
-    c = conversations.select("conv_id", "turn", "role", "text").where("turn is not null")
+    """The log of a table of turns (conv_id, turn, role, text): each row's message begins empty and is streamed by lines.
+
+    Each row is a message of its own, also where rows have the same conv_id and turn, or are equal; such rows come in the
+    order of (role, text), nulls first. The turn in the log is the number of the row in its conversation.
+    """
+    c = conversations.select("conv_id", "turn", "role", "text").where("conv_id is not null and turn is not null")
+    c = c.withColumn("turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long"))
     seq = F.col("turn").cast("decimal(38,0)") * (1 << 32)
     begun = c.select("conv_id", seq.alias("seq"), "turn", F.lit("message").alias("kind"), "role", F.lit("").alias("text"))
     streamed = c.select("conv_id", "turn", "role", F.posexplode(F.split("text", "(?<=\n)")).alias("i", "text"))

@@ -53,6 +53,15 @@ def test_transcripts(spark):
     assert chat_format.format_conversations(turns.limit(0)).count() == 0
 
 
+def test_rows_of_one_turn_are_messages_of_their_own(spark):
+    rows = [(1, 0, "user", "c\nd\n"), (1, 0, "user", "a\nb\n"), (1, 1, "user", "x"), (1, 1, "user", "x"), (1, 1, "assistant", "y"), (1, 1, None, "z")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    (got,) = chat_format.format_conversations(turns).collect()
+    order = [("user", "a\nb\n"), ("user", "c\nd\n"), ("user", "z"), ("assistant", "y"), ("user", "x"), ("user", "x")]
+    assert got.n_messages == 6  # count(*) of the SQL
+    assert got.transcript == "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in order)
+
+
 def near(rng, x, cos):
     u = rng.normal(size=x.shape)
     u -= (u @ x) * x
