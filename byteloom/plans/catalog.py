@@ -176,8 +176,8 @@ def train_vocabulary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def train_merges_spark(spark: SparkSession, d: str) -> DataFrame:
-    """A short run of the merge loop that stays on Spark."""
-    return train.train(_documents(spark, d), _CONFIG.with_(vocab_size=328), engine="spark").merge_table(spark)
+    """The merges of train_merges by the loop that stays on Spark."""
+    return train.train(_documents(spark, d), _CONFIG, engine="spark").merge_table(spark)
 
 
 def chunk_train(spark: SparkSession, d: str) -> DataFrame:

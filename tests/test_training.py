@@ -9,7 +9,7 @@ from byteloom import cli, layout, sources
 from byteloom.config import Segmentation, TrainerConfig
 from byteloom.model import info, load, merge_overlap, token_lengths, vocab_stats
 from byteloom.operators import codec, kernel, segment
-from byteloom.plans import chunked, train
+from byteloom.plans import catalog, chunked, train
 
 
 def cut(spark, data, mode, p=1.0, seed=0):
@@ -238,3 +238,12 @@ def test_command_line(spark, tmp_path, capsys):
     assert json.loads((tmp_path / "r.json").read_text())["chunks"]
     cli.main(["info", out])
     assert "from id 263" in capsys.readouterr().out
+
+
+def test_query_of_the_spark_loop_gives_all_merges_of_train_merges(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 5))) for _ in range(60)), "s") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    whole, loop = (catalog.queries()[name](spark, str(tmp_path)) for name in ("train_merges", "train_merges_spark"))
+    expected = sorted(tuple(r) for r in whole.select(*loop.columns).collect())
+    assert len(expected) == 88 and sorted(tuple(r) for r in loop.collect()) == expected
