@@ -48,6 +48,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sized(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """df, marked for broadcasting if its rows - of a few numbers each - are counted and no more than most."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names that no column of df has, in any letter case."""
     taken, out = {c.lower() for c in df.columns}, []

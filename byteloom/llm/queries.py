@@ -44,7 +44,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "kept_doc_id")
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "links")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_embedding_dedup": embedding_dedup.SQL,
         "op4_chat_format": chat_format.SQL,
         "op8_url_filter": url_filter.sql(),
         "op10_quality_rules": f"select doc_id, lang, source, n_chars from (select *, text as t from documents) where {quality.accepted_sql()}",

@@ -1,17 +1,22 @@
 """Near-duplicate documents by SimHash with random bit sampling.
 
 A document's signature has 256 bits: each bigram of its words votes with the bits of its hash. Words are the runs of
-letters and digits of the lower-cased text; a text with one word has that word for its feature. Signatures are compared
-through several tables. Each table samples some of the 256 coordinates at random, equal samples form a bucket, and
-within a bucket all pairs are compared by their Hamming distance. The more signatures there are, the more coordinates
-a table samples, so that a bucket holds some 1,000 unrelated ones at most; the number of tables follows from that and from
-the recall wanted at the largest distance that counts as near. A bucket of more than ``cap`` signatures is cut into blocks of
-``cap`` / 2, and every two of its blocks are compared as a bucket: no signature and no pair is left out. Verified pairs are
-joined into groups (connected components), of which the row with the lowest (doc_id, key of the row) stays.
-
-Defined cases. A null or empty text, or one without letters and digits, has no signature and is near nothing. Rows equal
-in doc_id and text are one document and are not listed; ``dedup_documents`` keeps one of them. Texts with equal signatures
-are duplicates, whatever their ids. A null doc_id is an id of its own, lowest in order. Further columns are ignored.
+letters and digits of the lower-cased text; a text with one word has that word for its feature. Equal signatures are one
+node, however many rows have them. Nodes are compared through several tables. Each table samples some of the 256
+coordinates at random, equal samples form a bucket, and within a bucket all pairs are compared by their Hamming distance.
+The more signatures there are, the more coordinates a table samples, so that a bucket holds some 1,000 unrelated ones at
+most; the number of tables follows from that and from the recall wanted at the largest distance that counts as near. A
+bucket of more than ``cap`` signatures is compared in full, by blocks (``buckets``): nothing is left out of it. A near pair
+counts in the first of the tables in which it meets, which both signatures tell, so links are counted without listing the
+pairs of a group. The pairs that join components of a bucket make up the groups (connected components), whose class is
+the row with the lowest (doc_id, key of the row).
+
+Defined cases. A null or empty text, or one without letters and digits, has no signature: it is a class of its own and has
+no links. Texts are hashed to their ends, however long. Rows with equal signatures are duplicates, whatever their ids, and
+no links of each other: links counts other signatures. Rows equal in doc_id and text are one document: listed each, alike;
+``dedup_documents`` keeps one of them, but all rows without text. A null doc_id is an id of its own, lowest in order. Of
+equal doc_ids the lower key of the row is the class. An empty table has no rows. Further columns are ignored, or kept as they are
+by ``dedup_documents``, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,19 +26,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from byteloom.llm import common, wordhash
+from byteloom.llm import buckets, common, wordhash
 
 BITS = 256
 #: Largest distance of near-duplicates, in bits.
 MAX_DISTANCE = 54
-#: Distance for which the tables are planned, and the recall of pairs that they have there; nearer pairs have more.
-PLANNED_DISTANCE, RECALL = MAX_DISTANCE, 0.97
+#: Recall of pairs at that distance that the tables are planned for; nearer pairs have more.
+RECALL = 0.97
 CAP = 20_000
-#: Of buckets up to this size all near pairs are given; of a larger one, those that join its components.
-ALL_PAIRS = 64
+#: Most bits that a table samples; the number of the table stands above them in a key.
+KEY_BITS = 48
 _LANES = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)).copy().view(np.uint64)[:, 0]
 
 
@@ -73,21 +78,22 @@ def signatures_of(texts: pa.Array) -> list[bytes | None]:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, k (key of the row), sig for each row that has a signature."""
+    """doc_id, k (key of the row), has_text, sig for each row of docs; sig is null for a row without words."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.pieces(batches, 2):
-            sig = pa.array(signatures_of(b.column(2)), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sig], ["doc_id", "k", "sig"]).filter(sig.is_valid())
+        for b in common.pieces(batches, 3):
+            sig = pa.array(signatures_of(b.column(3)), pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], sig], ["doc_id", "k", "has_text", "sig"])
 
-    rows = docs.select(docs[id_col].alias("doc_id"), common.row_key(docs, id_col, text_col).alias("k"), F.lower(docs[text_col]).alias("t"))
-    return rows.where(F.length("t") > 0).mapInArrow(run, f"doc_id {id_type}, k long, sig binary")
+    text = docs[text_col]
+    rows = docs.select(docs[id_col].alias("doc_id"), common.row_key(docs, id_col, text_col).alias("k"), F.coalesce(F.length(text) > 0, F.lit(False)).alias("has_text"), F.lower(text).alias("t"))
+    return rows.mapInArrow(run, f"doc_id {id_type}, k long, has_text boolean, sig binary")
 
 
-def plan(n: int, distance: int = PLANNED_DISTANCE, recall: float = RECALL) -> tuple[int, int]:
+def plan(n: int, distance: int = MAX_DISTANCE, recall: float = RECALL) -> tuple[int, int]:
     """Bits that a table samples and number of tables for n signatures."""
-    bits = min(60, max(4, math.ceil(math.log2(max(2, n))) - 10))
+    bits = min(KEY_BITS, max(4, math.ceil(math.log2(max(2, n))) - 10))
     # Coordinates are sampled without replacement.
     hit = math.comb(BITS - max(1, distance), bits) / math.comb(BITS, bits)
     return bits, max(4, math.ceil(math.log(1 - recall) / math.log(1 - hit)))
@@ -111,7 +117,7 @@ def _packed(column: pa.Array) -> np.ndarray:
 
 
 def bucket_rows(reps: DataFrame, bits: int, tables: int) -> DataFrame:
-    """key, k, sig: a row for each signature and table; key tells the table and its sampled bits."""
+    """key, k, sig: a row for each signature and table; the key is the table's number and the sampled bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = [_sample(bits, t) for t in range(tables)]
@@ -119,157 +125,99 @@ def bucket_rows(reps: DataFrame, bits: int, tables: int) -> DataFrame:
             if batch.num_rows:
                 b = _bits(batch.column(1))
                 for t in range(tables):
-                    key = wordhash.mix(_keys(b, at[t]).view(np.uint64), t).view(np.int64)
+                    key = _keys(b, at[t]) | np.int64(t << KEY_BITS)
                     yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0), batch.column(1)], ["key", "k", "sig"])
 
     return reps.select("k", "sig").mapInArrow(run, "key long, k long, sig binary")
 
 
-def capped(rows: DataFrame, cap: int = CAP) -> DataFrame:
-    """The bucket rows; in place of a bucket of more than cap rows there is one for every two of its blocks of about cap / 2."""
-    big = rows.groupBy("key").count().where(F.col("count") > cap).select("key", F.ceil(F.col("count") * 2 / cap).alias("blocks"))
-    big = common.cut(big)
-    if big.isEmpty():
-        return rows
-    big = F.broadcast(big)
-    own = rows.join(big, "key").withColumn("own", F.pmod(F.xxhash64(F.lit(cap), "k"), "blocks"))
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("own <> other")
-    two = own.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "k", "sig")
-    return rows.join(big, "key", "left_anti").select("key", "k", "sig").unionByName(two)
-
-
-def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The labels of components once the pairs (a, b), a < b, join them, and the pairs (2 x n) that did."""
-    pairs = [np.zeros((2, 0), np.int64)]
-    while len(at := np.flatnonzero(label[a] != label[b])):
-        a, b = a[at], b[at]
-        # Each label that meets a lower one gets below it by one pair, which makes no ring.
-        high, first = np.unique(np.maximum(label[a], label[b]), return_index=True)
-        pairs.append(np.stack([a[first], b[first]]))
-        below = np.arange(len(label))
-        below[high] = np.minimum(label[a], label[b])[first]
-        while (below[below] != below).any():
-            below = below[below]
-        label = below[label]
-    return label, np.concatenate(pairs, axis=1)
-
-
-def _joining(sig: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Near pairs that join the components of the rows, found by comparing every row with all that follow."""
-    n = len(sig)
-    words = [np.ascontiguousarray(x) for x in sig.T]
-    label, pairs = np.arange(n), []
-    step = max(8, min(256, (1 << 15) // n))
-    for s in range(0, n, step):
-        d = [np.bitwise_count(w[s : s + step, None] ^ w[s:]) for w in words]
-        d[0] += d[1]
-        d[2] += d[3]
-        a, b = np.divmod(np.flatnonzero(np.add(d[0], d[2], dtype=np.uint16) <= limit), n - s)
-        after = a < b
-        label, new = joined(label, a[after] + s, b[after] + s)
-        pairs.append(new)
-    return tuple(np.concatenate(pairs, axis=1))
-
-
-def pairs_of(key: np.ndarray, sig: np.ndarray, limit: int = MAX_DISTANCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers of verified pairs, the earlier row first. key is sorted; sig has four 64-bit words a row.
-
-    All pairs of a bucket are compared. Those given of a bucket have the components that all of its near pairs have.
-    """
-    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
-    size = np.diff(np.append(new, len(key)))
-    small = np.repeat(size <= ALL_PAIRS, size)
-    left = np.repeat(size, size) - (np.arange(len(key)) - np.repeat(new, size)) - 1  # rows of the bucket that follow
-    lag = 1
-    at = np.flatnonzero(small & (left >= lag))
-    while len(at):
-        d = np.bitwise_count(sig[at] ^ sig[at + lag]).sum(axis=1)
-        hit = at[d <= limit]
-        yield hit, hit + lag
-        lag += 1
-        at = at[left[at] >= lag]
-    for s, n in zip(new[size > ALL_PAIRS].tolist(), size[size > ALL_PAIRS].tolist()):
-        a, b = _joining(sig[s : s + n], limit)
-        yield a + s, b + s
-
-
-def verified(rows: DataFrame, limit: int = MAX_DISTANCE) -> DataFrame:
-    """u, v: the keys of verified pairs."""
+def first_met(a: np.ndarray, b: np.ndarray, table: np.ndarray, sig: np.ndarray, at: list[np.ndarray]) -> np.ndarray:
+    """Whether the rows a[i] and b[i], of a bucket of table[i], meet in none of the tables before it."""
+    ok = np.ones(len(a), bool)
+    most = int(table.max(initial=0))
+    if most:
+        rows, back = np.unique(np.concatenate([a, b]), return_inverse=True)
+        x, y = back[: len(a)], back[len(a) :]
+        bits = np.unpackbits(sig[rows].view(np.uint8).reshape(len(rows), -1), axis=1)
+        live = np.flatnonzero(table > 0)
+        for t in range(most):
+            live = live[table[live] > t]
+            if not len(live):
+                break
+            key = _keys(bits, at[t])
+            met = key[x[live]] == key[y[live]]
+            ok[live[met]] = False
+            live = live[~met]
+    return ok
+
+
+def linked(rows: DataFrame, bits: int, tables: int, limit: int = MAX_DISTANCE) -> DataFrame:
+    """``buckets.LINKS`` of the near pairs of the bucket rows (key, block, side, k, sig), each pair in its first table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def emit(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            k = np.asarray(part.column(1))
-            sig = _packed(part.column(2)).view(np.uint64)
-            for a, b in pairs_of(np.asarray(part.column(0)), sig, limit):
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(k[a]), pa.array(k[b])], ["u", "v"])
-
-        for batch in batches:  # sorted by key; a bucket may reach over several batches
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            if len(held) > 1 and held[0].column(0)[0] == batch.column(0)[-1]:
-                continue
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            key = np.asarray(whole.column(0))
-            stop = int(np.searchsorted(key == key[-1], True)) if key[0] != key[-1] else 0
-            if stop:
-                yield from emit(whole.slice(0, stop))
-            held = [whole.slice(stop)]
-        if held:
-            yield from emit(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
-
-    # Only buckets of two or more go to Python.
-    many = rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "k", "sig")
-    return many.sortWithinPartitions("key", "k").mapInArrow(run, "u long, v long").distinct()
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """k, root: for every node of the pairs (u, v), the lowest node of its connected component, by alternating stars."""
-    # Each round reads the pairs twice; cut, so that finding them isn't done twice.
-    e = common.cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
-    for _ in range(rounds):
-        both = e.union(e.select("v", "u").toDF("u", "v"))
-        m = F.least("u", F.min("v").over(Window.partitionBy("u")))
-        large = both.withColumn("m", m).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = F.min("v").over(Window.partitionBy("u"))
-        star = large.distinct().withColumn("m", least)
-        small = star.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(star.select("u", "m").toDF("u", "v"))
-        e = common.cut(small.where("u <> v").distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    return e.select(F.col("u").alias("k"), F.col("v").alias("root")).union(e.select("v", "v").toDF("k", "root")).distinct()
-
-
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_DISTANCE, cap: int = CAP, distance: int | None = None, recall: float = RECALL
-) -> DataFrame:
-    """doc_id, k, kept_doc_id, kept_k: for each document that a near-duplicate replaces, the one that stays for its group.
-
-    The tables are planned for the given recall at the given distance, or else at limit.
+        at = [_sample(bits, t) for t in range(tables)]
+        for part in buckets.whole(batches):
+            key, block, side, k = (np.asarray(part.column(i)) for i in range(4))
+            sig = _packed(part.column(4)).view(np.uint64)
+            words = [np.ascontiguousarray(x) for x in sig.T]
+            table = key >> KEY_BITS
+
+            def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                return np.bitwise_count(sig[a] ^ sig[b]).sum(axis=1) <= limit
+
+            def block_near(s: int, t: int, end: int) -> np.ndarray:
+                d = [np.bitwise_count(w[s:t, None] ^ w[s:end]) for w in words]
+                d[0] += d[1]
+                d[2] += d[3]
+                return np.add(d[0], d[2], dtype=np.uint16) <= limit
+
+            def first() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                for a, b in buckets.pairs_of(key, block, side, near, block_near):
+                    ok = first_met(a, b, table[a], sig, at)
+                    yield a[ok], b[ok]
+
+            yield buckets.links(k, first())
+
+    return buckets.gathered(rows).mapInArrow(run, buckets.LINKS)
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_DISTANCE, cap: int = CAP, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """The signatures of docs, cached, and for each of them (sig) its class: kept (doc_id, k), the lowest, and links.
+
+    The tables are planned for the given recall at the distance limit.
     """
     sigs = signatures(docs, id_col, text_col).persist()
-    reps = common.cut(sigs.groupBy("sig").agg(F.min(F.struct("doc_id", "k")).alias("rep")).select("sig", "rep", F.col("rep.k").alias("k")))
-    bits, tables = plan(reps.count(), limit if distance is None else distance, recall)
-    roots = components(verified(capped(bucket_rows(reps, bits, tables), cap), limit))
-    reps = reps.join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
-    reps = reps.withColumn("kept", F.min("rep").over(Window.partitionBy("root"))).select("sig", "kept")
-    out = sigs.join(reps, "sig").where(F.col("k") != F.col("kept.k"))
-    return out.select("doc_id", "k", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.k").alias("kept_k")).distinct()
+    reps = sigs.where("sig is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "k")).alias("rep"))
+    # Written once, so that the numbers stay as they are.
+    reps = common.cut(reps.withColumn("k", F.monotonically_increasing_id()))
+    bits, tables = plan(reps.count(), limit, recall)
+    rows = buckets.capped(bucket_rows(reps, bits, tables), cap)
+    return sigs, buckets.classes(reps, linked(rows, bits, tables, limit)).select("sig", "kept", "links")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
+    """doc_id, k, class_id, class_k, links: for each row of docs its class and how many other signatures are near its own."""
+    sigs, found = classes(docs, id_col, text_col, **options)
+    kept = F.coalesce("kept", F.struct("doc_id", "k"))
+    out = sigs.join(found, "sig", "left").withColumn("kept", kept)
+    out = out.select("doc_id", "k", F.col("kept.doc_id").alias("class_id"), F.col("kept.k").alias("class_k"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+    return out
 
 
 def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
     """The rows of docs less those that a near-duplicate or an equal row replaces; its columns stay as they are."""
-    gone = near_duplicates(docs, id_col, text_col, **options).select("k")
-    key, number = common.fresh(docs, "row_key", "row_number_")
-    gone = gone.toDF(key)
+    sigs, found = classes(docs, id_col, text_col, **options)
+    key, own = common.fresh(docs, "row_key", "own_id")
+    gone = sigs.join(found, "sig").where("k <> kept.k or not doc_id <=> kept.doc_id").select("doc_id", "k").distinct().toDF(own, key)
     keyed = docs.withColumn(key, common.row_key(docs, id_col, text_col))
-    first = F.row_number().over(Window.partitionBy(key).orderBy(key))
-    keyed = keyed.join(gone, key, "left_anti").withColumn(number, first)
-    # Rows without text have nothing to compare: all of them stay.
-    return keyed.where((F.col(number) == 1) | F.col(text_col).isNull() | (F.col(text_col) == "")).select(*docs.columns)
+
+    def same(other: DataFrame) -> Column:
+        return (keyed[key] == other[key]) & keyed[id_col].eqNullSafe(other[own])
+
+    out = keyed.join(gone, same(gone), "left_anti")
+    # Rows without text have nothing to compare: all of them stay. Of equal rows with text one does.
+    twice = common.cut(sigs.where("has_text").groupBy("doc_id", "k").count().where("count > 1").select("doc_id", "k").toDF(own, key))
+    if not twice.isEmpty():
+        more = keyed.join(twice, same(twice), "left_semi").join(gone, same(gone), "left_anti").dropDuplicates([id_col, key])
+        out = out.join(twice, same(twice), "left_anti").unionByName(more)
+    return out.select(*docs.columns)

@@ -73,7 +73,7 @@ def vectors(seed=0, n=1500):
     rng = np.random.default_rng(seed)
     base = rng.normal(size=(n, 64))
     base /= np.linalg.norm(base, axis=1, keepdims=True)
-    copies = [near(rng, base[i], c) for i in range(300) for c in (0.955, 0.98)] + [near(rng, base[0], 0.99) for _ in range(200)] + [base[1] * 3]
+    copies = [near(rng, base[i], c) for i in range(300) for c in (0.955, 0.98)] + [near(rng, base[0], 0.99) for _ in range(200)] + [base[1] * 4]
     return np.concatenate([base, copies]).astype(np.float32)
 
 
@@ -88,14 +88,21 @@ def test_recall_against_brute_force(spark):
             x = root[x]
         return x
 
-    for i, j in zip(*np.nonzero(np.triu(unit @ unit.T >= embedding_dedup.SIMILARITY, 1))):
+    unit[-1] = unit[1]  # the copy of four times the length
+    near = unit @ unit.T >= embedding_dedup.SIMILARITY
+    for i, j in zip(*np.nonzero(np.triu(near, 1))):
         a, b = find(i), find(j)
         root[max(a, b)] = min(a, b)
-    expected = {i: find(i) for i in range(len(v)) if find(i) != i}
+    near[:, -1] = False  # equal vectors are one
+    links = near.sum(axis=1) - 1
+    links[-1] = links[1]
+    grouped = [i for i in range(len(v)) if find(i) != i or links[i] > 0]
     for cap in (embedding_dedup.CAP, 30):
-        found = {r.vec_id: r.kept_vec_id for r in embedding_dedup.near_duplicates(df, cap=cap).collect()}
-        assert set(found) <= set(expected)
-        assert sum(found.get(k) == x for k, x in expected.items()) >= 0.95 * len(expected)
+        found = {r.vec_id: (r.class_id, r.links) for r in embedding_dedup.near_duplicates(df, cap=cap).collect()}
+        assert len(found) == len(v) and all(found[i] == (i, 0) for i in set(range(len(v))) - set(grouped))
+        assert sum(found[i][0] == find(i) for i in grouped) >= 0.95 * len(grouped)
+        assert all(found[i][1] <= links[i] for i in grouped)
+        assert sum(found[i][1] for i in grouped) >= 0.9 * links.sum()
 
 
 def test_chains_of_similar_vectors_stay_together(spark):
@@ -106,13 +113,24 @@ def test_chains_of_similar_vectors_stay_together(spark):
             v[2 * plane], v[2 * plane + 1] = np.cos(np.radians(17 * i)), np.sin(np.radians(17 * i))
             rows.append((4 * plane + i, v.tolist()))
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    found = {r.vec_id: r.kept_vec_id for r in embedding_dedup.near_duplicates(df).collect()}
-    assert found == {i: i - i % 4 for i in range(96) if i % 4}
+    found = {r.vec_id: (r.class_id, r.links) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert found == {i: (i - i % 4, 1 + (i % 4 in (1, 2))) for i in range(96)}
 
 
 def test_odd_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [1.0, None]), (8, [1.0, 0.0, 0.0]), (None, [1.0, 0.001]), (1, [1.0, 0.0]), (9, [0.0, 1.0]), (10, [float("inf"), 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("k", F.lit(1)).withColumn("vec", F.lit(1))
-    assert sorted((r.vec_id, r.kept_vec_id) for r in embedding_dedup.near_duplicates(df).collect()) == [(1, None), (2, None)]
+    found = sorted(((r.vec_id, r.class_id, r.links) for r in embedding_dedup.near_duplicates(df).collect()), key=str)
+    # 1, 1 and 2 are one vector; the row without an id is its only link.
+    assert found == sorted([(1, None, 1), (1, None, 1), (2, None, 1), (None, None, 1)] + [(i, i, 0) for i in (3, 4, 5, 6, 7, 8, 9, 10)], key=str)
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
-    assert embedding_dedup.near_duplicates(df.where("vec_id = 4")).count() == 0
+    assert [tuple(r) for r in embedding_dedup.near_duplicates(df.where("vec_id = 4")).collect()] == [(4, 4, 0)]
+    assert [tuple(r) for r in embedding_dedup.near_duplicates(df.where("vec_id = 9")).collect()] == [(9, 9, 0)]
+
+
+def test_tied_pivots_are_those_drawn_first(spark):
+    # All vectors lie on the axes, so most pivots are as near as others.
+    rows = [(i, [float(j == i % 40) * (1 + i) for j in range(40)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for _ in range(2):
+        assert {r.vec_id: (r.class_id, r.links) for r in embedding_dedup.near_duplicates(df).collect()} == {i: (i % 40, 0) for i in range(120)}

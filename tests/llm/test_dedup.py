@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from byteloom.llm import common, simhash, suffix_dedup
+from byteloom.llm import buckets, common, simhash, suffix_dedup
 from tests.llm.helpers import DOCS, ODD, table, words
 
 
@@ -32,10 +32,16 @@ def corpus():
     return [(i, " ".join(w)) for i, w in enumerate(texts)]
 
 
-def brute_groups(rows, limit=simhash.MAX_DISTANCE):
+def brute_classes(rows, limit=simhash.MAX_DISTANCE):
+    """Class and links of each row of distinct ids, over all pairs of distinct signatures."""
     sigs = simhash.signatures_of(pa.array([None if t is None else t.lower() for _, t in rows]))
-    at = [i for i, s in enumerate(sigs) if s is not None]
+    first = {}
+    for i, s in enumerate(sigs):
+        if s is not None:
+            first.setdefault(s, i)
+    at = list(first.values())
     bits = np.array([np.frombuffer(sigs[i], np.uint64) for i in at])
+    d = np.bitwise_count(bits[:, None] ^ bits[None]).sum(axis=2) <= limit
     root = list(range(len(at)))
 
     def find(x):
@@ -43,28 +49,55 @@ def brute_groups(rows, limit=simhash.MAX_DISTANCE):
             x = root[x]
         return x
 
-    for i in range(len(at)):
-        for j in np.flatnonzero(np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(axis=1) <= limit):
-            a, b = find(i), find(i + 1 + int(j))
-            root[max(a, b)] = min(a, b)
-    return {rows[at[i]][0]: rows[at[find(i)]][0] for i in range(len(at)) if find(i) != i}
+    for i, j in zip(*np.nonzero(np.triu(d, 1))):
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    node = {s: k for k, s in enumerate(first)}
+    return {rows[i][0]: (rows[i][0], 0) if s is None else (rows[at[find(node[s])]][0], int(d[node[s]].sum()) - 1) for i, s in enumerate(sigs)}
+
+
+def brute_groups(rows, limit=simhash.MAX_DISTANCE):
+    return {i: c for i, (c, _) in brute_classes(rows, limit).items() if c != i}
+
+
+def found_classes(spark, rows, **options):
+    out = simhash.near_duplicates(table(spark, rows), **options).collect()
+    assert len(out) == len(rows)
+    return {r.doc_id: (r.class_id, r.links) for r in out}
 
 
-def test_near_duplicates_match_brute_force(spark, corpus):
-    found = {r.doc_id: r.kept_doc_id for r in simhash.near_duplicates(table(spark, corpus)).collect()}
-    expected = brute_groups(corpus)
-    assert len(expected) >= 48
-    same = sum(found.get(k) == v for k, v in expected.items())
-    assert same >= 0.97 * len(expected)
-    assert set(found) <= set(expected)
+def check_classes(found, expected, recall=0.97):
+    assert found.keys() == expected.keys()
+    grouped = {i for i, (c, n) in expected.items() if c != i or n}
+    assert sum(found[i][0] == expected[i][0] for i in grouped) >= recall * len(grouped)
+    assert sum(n for _, n in found.values()) >= recall * sum(n for _, n in expected.values())
+    # Nothing is made up.
+    assert all(found[i][1] <= n for i, (_, n) in expected.items()) and all(found[i] == expected[i] for i in expected.keys() - grouped)
 
 
-def test_oversized_buckets_are_divided_without_losing_groups(spark, corpus):
+def test_classes_and_links_match_brute_force(spark, corpus):
+    expected = brute_classes(corpus)
+    assert len(brute_groups(corpus)) >= 48 and sum(n for _, n in expected.values()) > 100
+    check_classes(found_classes(spark, corpus), expected)
+
+
+def test_oversized_buckets_lose_nothing(spark, corpus):
     rng = random.Random(8)
-    big = corpus + [(1000 + i, " ".join(near_copy(rng, corpus[0][1].split(), 3))) for i in range(120)]
-    found = {r.doc_id: r.kept_doc_id for r in simhash.near_duplicates(table(spark, big), cap=20).collect()}
-    expected = brute_groups(big)
-    assert sum(found.get(k) == v for k, v in expected.items()) >= 0.95 * len(expected)
+    big = corpus + [(1000 + i, " ".join(near_copy(rng, corpus[0][1].split(), 3))) for i in range(300)]
+    check_classes(found_classes(spark, big, cap=20), brute_classes(big))
+    # Blocks and whole buckets find the same.
+    assert found_classes(spark, big, cap=20) == found_classes(spark, big)
+
+
+def near_pairs(key, sig, limit=simhash.MAX_DISTANCE):
+    def near(a, b):
+        return np.bitwise_count(sig[a] ^ sig[b]).sum(axis=1) <= limit
+
+    def block_near(s, t, end):
+        return np.bitwise_count(sig[s:t, None] ^ sig[None, s:end]).sum(axis=2) <= limit
+
+    zero = np.zeros(len(key), np.int64)
+    return [p for a, b in buckets.pairs_of(key, zero, zero + 1, near, block_near) for p in zip(a.tolist(), b.tolist())]
 
 
 def test_pairs_of_small_and_large_buckets():
@@ -72,20 +105,18 @@ def test_pairs_of_small_and_large_buckets():
     base = rng.integers(0, 2, (6, 256), dtype=np.uint8)
     bits = np.repeat(base, 100, axis=0) ^ (rng.random((600, 256)) < 0.05).astype(np.uint8)
     sig = np.packbits(bits, axis=1).view(np.uint64)
-    for key in (np.zeros(600, np.int64), np.repeat(np.arange(6), 100)):
-        near = {(a, b) for x, y in simhash.pairs_of(key, sig) for a, b in zip(x.tolist(), y.tolist())}
+    for key in (np.zeros(600, np.int64), np.repeat(np.arange(6), 100), np.repeat(np.arange(30), 20)):
+        found = near_pairs(key, sig)
         d = np.bitwise_count(sig[:, None] ^ sig[None]).sum(axis=2)
-        assert all(d[a, b] <= simhash.MAX_DISTANCE and key[a] == key[b] for a, b in near)
-        have = {a for a, _ in near} | {b for _, b in near}
-        partner = ((d <= simhash.MAX_DISTANCE) & (key[:, None] == key[None])).sum(axis=1) > 1
-        assert have == set(np.flatnonzero(partner).tolist())
+        expected = set(zip(*(x.tolist() for x in np.nonzero(np.triu((d <= simhash.MAX_DISTANCE) & (key[:, None] == key[None]), 1)))))
+        assert len(found) == len(expected) and set(found) == expected
 
 
 def test_plan_grows_with_the_number_of_signatures():
     bits, tables = zip(*(simhash.plan(10**k) for k in range(3, 11)))
     assert list(bits) == sorted(bits) and list(tables) == sorted(tables)
     for b, t in zip(bits, tables):
-        assert 1 - (1 - (1 - simhash.PLANNED_DISTANCE / 256) ** b) ** t >= simhash.RECALL
+        assert 1 - (1 - (1 - simhash.MAX_DISTANCE / 256) ** b) ** t >= simhash.RECALL
 
 
 def pairs_at(rng, distances):
@@ -111,10 +142,14 @@ def test_recall_of_the_plan_for_15_million_over_all_distances():
 def test_isolated_pairs_in_an_oversized_bucket_are_found(spark):
     sig = pairs_at(np.random.default_rng(3), [20, 36, 45, simhash.MAX_DISTANCE] * 75)
     rows = spark.createDataFrame([(7, k, x.tobytes()) for k, x in enumerate(sig)], "key long, k long, sig binary")
-    parts = simhash.capped(rows, cap=50)
-    assert max(r["count"] for r in parts.groupBy("key").count().collect()) < 100
-    found = {tuple(sorted(r)) for r in simhash.verified(parts).collect()}
-    assert found == {(2 * i, 2 * i + 1) for i in range(300)}
+    parts = buckets.capped(rows, cap=50)
+    assert max(r["count"] for r in parts.groupBy("key", "block").count().collect()) < 100
+    found = simhash.linked(parts, 8, 1).collect()
+    assert {tuple(sorted((r.u, r.v))) for r in found if r.v is not None} == {(2 * i, 2 * i + 1) for i in range(300)}
+    n = Counter()
+    for r in found:
+        n[r.u] += r.n or 0
+    assert n == Counter({k: 1 for k in range(600)})  # each pair counts once, in one block or in two
 
 
 def test_chains_in_large_buckets_stay_together():
@@ -127,7 +162,7 @@ def test_chains_in_large_buckets_stay_together():
             bits[links * i + j, flips[: 30 * j]] ^= 1
     order = rng.permutation(len(bits))
     sig = np.packbits(bits[order], axis=1).view(np.uint64)
-    pairs = [p for a, b in simhash.pairs_of(np.zeros(len(sig), np.int64), sig) for p in zip(a.tolist(), b.tolist())]
+    pairs = near_pairs(np.zeros(len(sig), np.int64), sig)
     d = np.bitwise_count(sig[:, None] ^ sig[None]).sum(axis=2)
     assert all(a < b and d[a, b] <= simhash.MAX_DISTANCE for a, b in pairs)
     root = list(range(len(sig)))
@@ -142,9 +177,9 @@ def test_chains_in_large_buckets_stay_together():
 
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
-    found = {r.k: r.root for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    found = {r.k: r.root for r in buckets.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert found == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
-    assert simhash.components(spark.createDataFrame([], "u long, v long")).count() == 0
+    assert buckets.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
 def test_dedup_keeps_columns_and_odd_rows(spark, corpus):
