@@ -10,8 +10,10 @@ where they end and relaxed in that order: an edge is kept if the token may follo
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
 
 from byteloom.llm import wordhash
 
@@ -160,34 +162,67 @@ class Lattice:
         return out, n
 
 
+def distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different pieces data[start[i] : end[i]], a place i of each, and for every piece which of them it is.
+
+    Pieces come in order and don't overlap. They are told apart by all their bytes, not by a hash alone.
+    """
+    if not len(start):
+        return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    edge = np.zeros(len(data) + 1, bool)
+    edge[start] = edge[end] = True
+    bounds = np.flatnonzero(edge)
+    # What lies between pieces is encoded too, and not looked at.
+    cut = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+    which = cut.indices.to_numpy()[np.searchsorted(bounds, start)]
+    place = np.full(len(cut.dictionary), -1, np.int64)
+    place[which] = np.arange(len(which))
+    used = place >= 0
+    values = cut.dictionary if used.all() else cut.dictionary.filter(pa.array(used))
+    return values.to_pylist(), place[used], (np.cumsum(used) - 1)[which]
+
+
 class Remembered:
-    """Values of pieces by their hash: rows of a flat array. When there are more than limit, they are forgotten."""
+    """Values of pieces: rows of a flat array. When there are more than limit, they are forgotten."""
 
     def __init__(self, limit: int, kind: type):
         self.limit, self.kind = limit, kind
         self.forget()
 
     def forget(self) -> None:
-        self.hash, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, self.kind)
+        self.slot: dict[bytes, int] = {}
+        self.at, self.n = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.store, self.used, self.key_bytes = np.zeros(1024, self.kind), 0, 0
+
+    @property
+    def flat(self) -> np.ndarray:
+        return self.store[: self.used]
 
-    def missing(self, h: np.ndarray) -> np.ndarray:
-        """Places of the hashes, distinct and sorted, that have no value."""
-        if len(self.hash) + len(h) > self.limit or len(self.flat) > 32 * self.limit:
+    def missing(self, pieces: list[bytes]) -> np.ndarray:
+        """Places of the pieces, all different, that have no value."""
+        if len(self.slot) + len(pieces) > self.limit or max(self.used, self.key_bytes) > 32 * self.limit:
             self.forget()
-        i = np.minimum(np.searchsorted(self.hash, h), max(0, len(self.hash) - 1))
-        return np.flatnonzero(self.hash[i] != h) if len(self.hash) else np.arange(len(h))
-
-    def add(self, h: np.ndarray, flat: np.ndarray, n: np.ndarray) -> None:
-        at = len(self.flat) + np.cumsum(n) - n
-        self.flat = np.concatenate([self.flat, flat.astype(self.kind)])
-        h, at, n = np.concatenate([self.hash, h]), np.concatenate([self.at, at]), np.concatenate([self.n, n])
-        order = np.argsort(h)
-        self.hash, self.at, self.n = h[order], at[order], n[order]
-
-    def rows(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size of the values of hashes that have one."""
-        i = np.searchsorted(self.hash, h)
+        return np.flatnonzero(self._slots(pieces) < 0)
+
+    def _slots(self, pieces: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.slot.get, pieces, repeat(-1)), np.int64, len(pieces))
+
+    def add(self, pieces: list[bytes], flat: np.ndarray, n: np.ndarray) -> None:
+        """Pieces without a value get the next n values of flat each."""
+        first, total = len(self.slot), len(self.slot) + len(pieces)
+        if total > len(self.at):
+            self.at, self.n = (np.concatenate([x[:first], np.zeros(total, np.int64)]) for x in (self.at, self.n))
+        if self.used + len(flat) > len(self.store):
+            self.store = np.concatenate([self.flat, np.zeros(self.used + len(flat), self.kind)])
+        self.at[first:total], self.n[first:total] = self.used + np.cumsum(n) - n, n
+        self.store[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        self.key_bytes += sum(map(len, pieces))
+        self.slot.update(zip(pieces, range(first, total)))
+
+    def rows(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of the values of pieces that have one."""
+        i = self._slots(pieces)
         return self.at[i], self.n[i]
 
 

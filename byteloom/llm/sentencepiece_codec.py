@@ -8,9 +8,11 @@ scores: an edge is kept if its piece may follow the last piece of the prefix bef
 merges. Units that the lattice doesn't take - longer than its limit, or with several leading spaces, for which merges of
 equal score make ties - are merged one by one with a heap. Characters without a piece become byte pieces.
 
-Defined cases. A null text has null ids; an empty text has none. Control pieces in a text are ordinary text. "▁" in a text
+Defined cases. A model that isn't a byte-pair model is an error. A null text has null ids; an empty text has none; an
+empty table has no rows. Pieces of equal score are merged from left to right. Units are told apart by all their bytes. Control pieces in a text are ordinary text. "▁" in a text
 is encoded as a space, so it is decoded as one. Decoding a null gives null; ids outside the vocabulary are an error; bytes
-that are no UTF-8 decode to U+FFFD. Repeated rows give repeated results. Further columns are ignored. Texts are encoded to
+that are no UTF-8 decode to U+FFFD. Repeated rows give repeated results. Null ids of rows are kept. Further columns are
+ignored, whatever their names. Texts are encoded to
 their ends, however long.
 """
 
@@ -28,7 +30,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from byteloom.llm import common, lattice, prefix_bpe, wordhash
+from byteloom.llm import common, lattice, prefix_bpe
 from byteloom.llm.token_counts import TOKENIZERS
 
 MODEL = os.path.join(TOKENIZERS, "piece_bpe_32k.model")
@@ -67,11 +69,43 @@ def merged(text: str, score: dict[str, float]) -> list[str]:
     return [p for p in part if p]
 
 
+def _fields(data: bytes) -> Iterator[tuple[int, object]]:
+    """Numbers and values of the fields of a protocol buffer's message."""
+
+    def number() -> int:
+        nonlocal at
+        out, shift = 0, 0
+        while True:
+            b = data[at]
+            at += 1
+            out |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return out
+
+    at = 0
+    while at < len(data):
+        tag = number()
+        if tag & 7 == 0:
+            yield tag >> 3, number()
+        else:
+            size = {1: 8, 5: 4}[tag & 7] if tag & 7 != 2 else number()
+            yield tag >> 3, data[at : at + size]
+            at += size
+
+
+def is_bpe(model: bytes) -> bool:
+    """Whether a serialized model says that it is a byte-pair model: field 3 of its trainer's settings, field 2, is 2."""
+    return any(2 == kind for n, spec in _fields(model) if n == 2 for field, kind in _fields(spec) if field == 3)
+
+
 class Codec:
     """A byte-pair model with byte fallback and no normalisation but that of spaces."""
 
     def __init__(self, model: str):
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
+        if not is_bpe(sp.serialized_model_proto()):
+            raise ValueError("the model isn't a byte-pair model")
         n = sp.get_piece_size()
         if sp.normalize("  a ﬁ") != f"{SPACE}{SPACE}{SPACE}a{SPACE}ﬁ":
             raise ValueError("the model's normalisation isn't supported")
@@ -139,8 +173,8 @@ class Codec:
         at, size = at[real[at]], size[real[at]]
         first = np.append(np.searchsorted(at, row_start), len(at))
         a, b = byte[at], byte[at + size]
-        h, example, which = np.unique(wordhash.Runs(wordhash.BYTE[data], wordhash.BASE)(a, b), return_index=True, return_inverse=True)
-        new = self.known.missing(h)
+        found, example, which = lattice.distinct(data, a, b)
+        new = self.known.missing(found)
         if len(new):
             one = example[new]
             many = blank[np.minimum(at[one] + 1, len(points) - 1)] & (size[one] > 1)
@@ -163,8 +197,9 @@ class Codec:
                 ids = self._scalar(data[a[i] : b[i]].tobytes().decode())
                 values.append(np.array(ids, np.int64))
                 counts.append(np.array([len(ids)]))
-            self.known.add(np.concatenate([h[new][easy], h[new][~easy]]), np.concatenate(values), np.concatenate(counts).astype(np.int64))
-        where, n = self.known.rows(h)
+            order = np.concatenate([new[easy], new[~easy]]).tolist()
+            self.known.add([found[i] for i in order], np.concatenate(values), np.concatenate(counts).astype(np.int64))
+        where, n = self.known.rows(found)
         ids = lattice.expand(self.known.flat, where[which], n[which])
         total = np.concatenate([[0], np.cumsum(n[which])])
         return ids, np.diff(total[first])

@@ -10,8 +10,9 @@ A stored table is bytes: the width w (1, 2 or 4), then the differences of succes
 numbers of w bytes.
 
 Defined cases. A null text has a null table and null counts; an empty text has an empty table and no tokens. Strings of
-special tokens are ordinary text. Repeated rows give repeated results. Further columns are ignored. Any Unicode text can
-be encoded, and is to its end, however long.
+special tokens are ordinary text. Merges of one rank are made from left to right. Repeated rows give repeated results, a null
+id is kept, an empty table has no rows. Further columns are ignored, whatever their names. Any Unicode text can be encoded,
+and is to its end, however long. Pieces are told apart by all their bytes, so no text can take another one's counts.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from byteloom.llm import common, gpt_split, lattice, prefix_bpe, wordhash
+from byteloom.llm import common, gpt_split, lattice, prefix_bpe
 
 #: Folder of the public vocabulary files; BYTELOOM_TOKENIZERS names another.
 TOKENIZERS = os.environ.get("BYTELOOM_TOKENIZERS", "/opt/tokenizers")
@@ -35,7 +36,7 @@ VOCABULARY = os.path.join(TOKENIZERS, "byte_bpe_50k.tiktoken")
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BUDGETS = (512, 2048, 8192)
 #: Pieces whose tables, and whose sizes, a worker remembers; bytes of text that it takes at once.
-REMEMBERED, REMEMBERED_SIZES = 250_000, 600_000
+REMEMBERED, REMEMBERED_SIZES = 250_000, 250_000
 TAKEN, TAKEN_SIZES = 1 << 20, 1 << 19
 #: Longest piece that the lattice takes. Longer ones are rare, and long tokens would only deepen its suffix array.
 LATTICE_PIECE = 28
@@ -60,8 +61,7 @@ class Pieces:
         self.start, self.end = byte[self.at], byte[self.at + self.size]  # in bytes
         self.rows = np.stack([np.searchsorted(byte, rows[0]), row_end])
         self.first = np.append(np.searchsorted(self.at, self.rows[0]), len(self.at))
-        h = wordhash.Runs(wordhash.BYTE[data], wordhash.BASE)(self.start, self.end)
-        self.hash, self.example, self.which = np.unique(h, return_index=True, return_inverse=True)
+        self.values, self.example, self.which = lattice.distinct(data, self.start, self.end)
         self.byte = byte
 
     def bytes(self, piece: int) -> bytes:
@@ -129,20 +129,21 @@ class Counter:
     def counts(self, column: pa.Array) -> np.ndarray:
         """Tokens of each text."""
         pieces = Pieces(column)
-        new = self.sizes.missing(pieces.hash)
+        new = self.sizes.missing(pieces.values)
         if len(new):
-            self.sizes.add(pieces.hash[new], np.array([len(self.encode(pieces.bytes(k))) for k in pieces.example[new].tolist()]), np.ones(len(new), np.int64))
-        at, _ = self.sizes.rows(pieces.hash)
+            values = [pieces.values[i] for i in new.tolist()]
+            self.sizes.add(values, np.array([len(self.encode(v)) for v in values]), np.ones(len(new), np.int64))
+        at, _ = self.sizes.rows(pieces.values)
         total = np.concatenate([[0], np.cumsum(self.sizes.flat[at][pieces.which], dtype=np.int64)])
         return np.diff(total[pieces.first])
 
     def prefix_counts(self, column: pa.Array) -> list[np.ndarray]:
         """For each text the tokens of its first i characters, for i from 1 to its length."""
         pieces = Pieces(column)
-        new = self.known.missing(pieces.hash)
+        new = self.known.missing(pieces.values)
         if len(new):
-            self.known.add(pieces.hash[new], *self._tables(pieces, new))
-        at, n = self.known.rows(pieces.hash)
+            self.known.add([pieces.values[i] for i in new.tolist()], *self._tables(pieces, new))
+        at, n = self.known.rows(pieces.values)
         ends = self.known.flat[at + n - 1][pieces.which].astype(np.int64)
         before = np.cumsum(ends) - ends
         base = np.append(before, 0)[pieces.first[:-1]]

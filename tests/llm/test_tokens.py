@@ -83,12 +83,50 @@ def test_scalar_and_lattice_agree(library):
 def test_memory_of_pieces_is_bounded():
     r = lattice.Remembered(10, np.int32)
     for k in range(5):
-        h = np.arange(k * 6, k * 6 + 6, dtype=np.uint64)
-        new = r.missing(h)
-        r.add(h[new], np.repeat(h[new], 2), np.full(len(new), 2))
-        at, n = r.rows(h)
-        assert lattice.expand(r.flat, at, n).tolist() == np.repeat(h, 2).tolist()
-        assert len(r.hash) <= 12
+        pieces = [b"%d" % i for i in range(k * 6, k * 6 + 6)]
+        new = r.missing(pieces)
+        r.add([pieces[i] for i in new], np.repeat(new, 2) + k * 6, np.full(len(new), 2))
+        at, n = r.rows(pieces)
+        assert lattice.expand(r.flat, at, n).tolist() == np.repeat(np.arange(k * 6, k * 6 + 6), 2).tolist()
+        assert len(r.slot) <= 12
+
+
+def test_distinct_pieces():
+    data = np.frombuffer(b"ab\0ab\0\0c\0", np.uint8)
+    values, place, which = lattice.distinct(data, np.array([0, 3, 6, 7]), np.array([2, 5, 7, 8]))
+    assert [values[i] for i in which] == [b"ab", b"ab", b"\0", b"c"] and len(values) == 3
+    assert all(which[p] == k for k, p in enumerate(place))
+    assert lattice.distinct(data, np.zeros(0, int), np.zeros(0, int))[0] == []
+
+
+def thue_morse(n):
+    """A word of which many hashes can't tell the complement."""
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_words_made_to_collide_keep_their_own_tokens(library):
+    swap = str.maketrans("ab", "ba")
+    for n in (1024, 2048):
+        texts = [thue_morse(n), thue_morse(n).translate(swap), "x " + thue_morse(n).translate(swap)]
+        c = token_counts.Counter(token_counts.VOCABULARY)
+        assert c.counts(pa.array(texts)).tolist() == [len(library.encode_ordinary(t)) for t in texts]
+        for text, got in zip(texts, c.prefix_counts(pa.array(texts))):
+            assert got[-1] == len(library.encode_ordinary(text)) and got[n // 2] == len(library.encode_ordinary(text[: n // 2 + 1]))
+        sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+        ids, sizes = sentencepiece_codec.Codec(sentencepiece_codec.MODEL).encode(pa.array(texts))
+        for text, part in zip(texts, np.split(ids, np.cumsum(sizes)[:-1])):
+            assert part.tolist() == sp.encode(text)
+
+
+def test_models_other_than_byte_pair_are_refused(tmp_path, monkeypatch):
+    with open(sentencepiece_codec.MODEL, "rb") as f:
+        data = f.read()
+    assert sentencepiece_codec.is_bpe(data)
+    unigram = bytes([2 << 3 | 2, 2, 3 << 3, 1])  # settings of a trainer whose kind of model is 1
+    assert not sentencepiece_codec.is_bpe(unigram) and not sentencepiece_codec.is_bpe(b"")
+    monkeypatch.setattr(sentencepiece_codec, "is_bpe", lambda _: False)
+    with pytest.raises(ValueError):
+        sentencepiece_codec.Codec(sentencepiece_codec.MODEL)
 
 
 def test_merges_take_the_best_then_the_leftmost():
