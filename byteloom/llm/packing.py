@@ -6,11 +6,14 @@ bins are filled at once, so the plan takes time in the number of lengths and non
 then take the planned slots by their rank within their length, in the order of (doc_id, key of the row). The result is
 that of best-fit decreasing over the documents one by one.
 
-Ranks within a length come from ranks within (length, salt) and the histogram over both, so that a length that many
-documents have is not one task. The plan has at most some slots for each length; it depends on the capacity.
-
-Defined cases. A null text has no tokens and isn't packed; nor is an empty one. Equal rows are packed once each. A null
-doc_id is an id of its own. Further columns are ignored.
+Ranks within a length come from ranks within (length, salt) and the histogram over both: a length has a salt for every
+``SALT_ROWS`` items, so that one that many documents have isn't one task. The plan has at most some slots for each length;
+it depends on the capacity.
+
+Defined cases. A null text has no tokens and isn't packed; nor is an empty one. A very long text is cut into full bins and a
+rest, all of it. Equal rows are packed once each; items of one length and equal (doc_id, key, piece) take their slots in either
+order. A null doc_id is an id of its own, lowest in order. An empty table has no rows. Further columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -22,7 +25,9 @@ from pyspark.sql import functions as F
 
 from byteloom.llm import common, token_counts
 
-CAPACITY, END, SALTS = 2048, 1, 64
+CAPACITY, END = 2048, 1
+#: Items of one length, about, that are ranked in one task.
+SALT_ROWS = 50_000
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -71,21 +76,22 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return out
 
 
-def packed(lengths: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
+def packed(lengths: DataFrame, capacity: int = CAPACITY, salt_rows: int = SALT_ROWS) -> DataFrame:
     """doc_id, piece, token_start, n_places, bin, offset for lengths (doc_id, k, n): n places from the start of a document.
 
     The pieces of a document are numbered from 0; piece i starts at its place i * capacity.
     """
     spark = lengths.sparkSession
     # The histogram and the ranks both need the lengths, which are dear to count and small to keep.
-    lengths = lengths.where("n > 0").persist()
+    lengths = common.cut(lengths.where("n > 0"))
     piece = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / capacity).cast("int")))
     parts = lengths.select("doc_id", "k", "n", piece.alias("piece"))
     parts = parts.withColumn("length", F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("piece").cast("long") * capacity).cast("int"))
-    parts = parts.withColumn("salt", F.pmod(F.xxhash64("k", "piece"), F.lit(salts)).cast("int"))
-    by_salt = parts.groupBy("length", "salt").count()
-    by_salt = common.cut(by_salt)
-    histogram = {r["length"]: r["n"] for r in by_salt.groupBy("length").agg(F.sum("count").alias("n")).collect()}
+    histogram = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}
+    # Both tables have at most as many rows as a bin has places.
+    salts = spark.createDataFrame([(n, -(-c // salt_rows)) for n, c in histogram.items()], "length int, salts long")
+    parts = parts.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("k", "piece"), "salts")).drop("salts")
+    by_salt = common.cut(parts.groupBy("length", "salt").count())
     schema = "length int, first long, bins long, each long, first_bin long, offset int"
     slots = spark.createDataFrame(plan(histogram, capacity), schema)
     before = F.sum("count").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))

@@ -199,7 +199,7 @@ def test_documents_take_the_slots(spark):
     rng = random.Random(9)
     rows = [(i % 150, i, rng.choice([1, 5, 5, 7, 30, 64, 65, 200])) for i in range(300)] + [(None, 1000, 5), (3, 1001, 0)]
     lengths = spark.createDataFrame(rows, "doc_id long, k long, n long")
-    out = packing.packed(lengths, 64, salts=4).collect()
+    out = packing.packed(lengths, 64, salt_rows=3).collect()
     parts = [min(64, n - p) for _, _, n in rows if n for p in range(0, n, 64)]
     assert sorted(r.n_places for r in out) == sorted(parts)
     assert all(r.token_start == r.piece * 64 for r in out)
