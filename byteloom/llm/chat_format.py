@@ -15,7 +15,8 @@ events only those count that come after the last one that sets or drops its mess
 Defined cases. Equal events are one event. Events of a conversation with the same seq come in the order of (turn, kind,
 role, text), nulls first. Events with a null conv_id, seq or turn, or of an unknown kind, are ignored. A null text is
 empty; a message's role is the last one that its events name, "user" if none does. A conversation with no message left has
-no row. Further columns are ignored. In texts "<|" is written "< |", so that no text can pass for a marker.
+no row; an empty log has none. Texts may have any length. Further columns are ignored, whatever their names. Rows of a table of
+turns that have one (conv_id, turn) are messages of their own (``events_of``). In texts "<|" is written "< |", so that no text can pass for a marker.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+EVENT = "struct<i:int,turn:bigint,kind:string,role:string,text:string>"
 KINDS = ("message", "delta", "edit", "regenerate", "delete")
 
 
@@ -57,20 +59,35 @@ def render(final: DataFrame) -> DataFrame:
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """The log of a table of turns (conv_id, turn, role, text): each row's message begins empty and is streamed by lines.
+    """A log whose fold gives the turns of a table (conv_id, turn, role, text), with every kind of event.
 
     Each row is a message of its own, also where rows have the same conv_id and turn, or are equal; such rows come in the
-    order of (role, text), nulls first. The turn in the log is the number of the row in its conversation.
+    order of (role, text), nulls first. The turn in the log is the number of the row in its conversation. By that number
+    in turn, a message is streamed by lines; written as a draft, answered, and edited, which drops the answer; streamed in
+    part, regenerated and streamed by lines; or written as a draft, deleted, and streamed by lines.
     """
     c = conversations.select("conv_id", "turn", "role", "text").where("conv_id is not null and turn is not null")
     c = c.withColumn("turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long"))
-    seq = F.col("turn").cast("decimal(38,0)") * (1 << 32)
-    begun = c.select("conv_id", seq.alias("seq"), "turn", F.lit("message").alias("kind"), "role", F.lit("").alias("text"))
-    streamed = c.select("conv_id", "turn", "role", F.posexplode(F.split("text", "(?<=\n)")).alias("i", "text"))
-    return begun.unionByName(streamed.select("conv_id", (seq + F.col("i") + 1).alias("seq"), "turn", F.lit("delta").alias("kind"), "role", "text"))
+    turn, role, draft = F.col("turn"), F.col("role"), F.coalesce(F.substring("text", 1, 40), F.lit(""))
+
+    def event(i: Column | int, kind: str, text: Column | str, turn: Column = turn, role: Column = role) -> Column:
+        at = i if isinstance(i, Column) else F.lit(i)
+        return F.struct(at.cast("int").alias("i"), turn.alias("turn"), F.lit(kind).alias("kind"), role.alias("role"), (text if isinstance(text, Column) else F.lit(text)).alias("text"))
+
+    lines = F.coalesce(F.transform(F.split("text", "(?<=\n)"), lambda x, i: event(i + 3, "delta", x)), F.array().cast(f"array<{EVENT}>"))
+    answer = event(1, "message", draft, turn + 1, F.lit(None).cast("string"))
+    log = (
+        F.when(turn % 4 == 1, F.concat(F.array(event(0, "message", "")), lines))
+        .when(turn % 4 == 2, F.array(event(0, "message", draft), answer, event(2, "edit", F.col("text"))))
+        .when(turn % 4 == 3, F.concat(F.array(event(0, "message", ""), event(1, "delta", draft), event(2, "regenerate", "")), lines))
+        .otherwise(F.concat(F.array(event(0, "message", draft), event(1, "delete", ""), event(2, "message", "")), lines))
+    )
+    out = c.select("conv_id", (turn.cast("decimal(38,0)") * (1 << 32)).alias("seq"), F.explode(log).alias("e"))
+    return out.select("conv_id", (F.col("seq") + F.col("e.i")).alias("seq"), "e.turn", "e.kind", "e.role", "e.text")
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
+    """conv_id, n_messages, transcript of a table of turns, by way of a log of them."""
     return render(messages(events_of(conversations)))
 
 

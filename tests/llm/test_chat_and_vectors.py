@@ -62,6 +62,18 @@ def test_rows_of_one_turn_are_messages_of_their_own(spark):
     assert got.transcript == "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in order)
 
 
+def test_logs_of_tables_have_every_kind_of_event_and_fold_to_the_table(spark):
+    rng = random.Random(5)
+    rows = [(c, t, rng.choice(["user", "assistant", None]), rng.choice(["", None, "one\ntwo\n", "x " * 30, f"t{t}"])) for c in range(30) for t in range(rng.randint(1, 9))]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat_format.events_of(turns).cache()
+    assert {r.kind for r in log.select("kind").distinct().collect()} == set(chat_format.KINDS)
+    events = [(r.conv_id, int(r.seq), r.turn, r.kind, r.role, r.text) for r in log.collect()]
+    expected = {(c, t + 1): (role or "user", text or "") for c, t, role, text in rows}
+    assert folded(events) == expected
+    assert {(r.conv_id, r.turn): (r.role, r.text) for r in chat_format.messages(log).collect()} == expected
+
+
 def near(rng, x, cos):
     u = rng.normal(size=x.shape)
     u -= (u @ x) * x
