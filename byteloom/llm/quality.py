@@ -6,8 +6,15 @@ it. A document stays if all rules accept it, so the order, and the sample with i
 result. Rules count characters and words of whole texts in numpy, a batch at a time: the same counts by regular
 expressions in Catalyst took about ten times the CPU.
 
+The sample has about ``SAMPLE_ROWS`` texts, from the heads of up to ``SAMPLE_PARTITIONS`` partitions spread over the table, so
+that it costs the same at any size and a table sorted by source gives texts of all of them.
+
 Defined cases. A null or empty text, or one of white space only, is rejected. Words are split at ASCII white space and
-NUL. Repeated rows are judged alike and all kept or all rejected. Null ids and further columns have no part in it.
+NUL. A text on a rule's limit is accepted. Very long texts are judged whole; as new words get rarer with length, the rule on
+distinct words asks for a share (35 %) of up to ``SHARE_WORDS`` words, and beyond for a number whose square grows as the words
+do, which is the same at that point and no jump. Rules of equal rejections per cost run the cheaper one first. Repeated rows are
+judged alike and all kept or all rejected. An empty table has no rows. Null ids and further columns have no part in it,
+whatever their names, and are kept.
 """
 
 from __future__ import annotations
@@ -17,6 +24,7 @@ import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cache, cached_property
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +33,10 @@ from pyspark.sql import functions as F
 
 from byteloom.llm import common, wordhash
 
-#: Rows of the sample on which costs and selectivities are estimated.
-SAMPLE_ROWS = 300
+#: Rows of the sample on which costs and selectivities are estimated, and partitions that they come from, at most.
+SAMPLE_ROWS, SAMPLE_PARTITIONS = 1000, 64
+#: Words of a text up to which a share of them has to be distinct.
+SHARE_WORDS = 10_000
 LETTER, NUMBER, UPPER, SPACE, ODD = 1, 2, 4, 8, 16
 
 
@@ -127,9 +137,8 @@ def _word_length(t: Texts) -> np.ndarray:
 
 
 def _distinct_words(t: Texts) -> np.ndarray:
-    # A share of the words up to 10,000; beyond it the square of the distinct words grows as the words do.
     n, d = t.words[2], t.distinct_words
-    return np.where(n <= 10_000, d * 100 >= n * 35, d * d >= n * 1225)
+    return np.where(n <= SHARE_WORDS, d * 100 >= n * 35, d * d >= n * 1225)
 
 
 def _repeated_lines(t: Texts) -> np.ndarray:
@@ -157,7 +166,7 @@ RULES = (
     Rule(
         "distinct_words",
         _distinct_words,
-        f"case when len({_SQL_W}) <= 10000 then list_unique({_SQL_W}) * 100 >= len({_SQL_W}) * 35 else list_unique({_SQL_W})::hugeint * list_unique({_SQL_W}) >= len({_SQL_W})::hugeint * 1225 end",
+        f"case when len({_SQL_W}) <= {SHARE_WORDS} then list_unique({_SQL_W}) * 100 >= len({_SQL_W}) * 35 else list_unique({_SQL_W})::hugeint * list_unique({_SQL_W}) >= len({_SQL_W})::hugeint * 1225 end",
     ),
     Rule("repeated_lines", _repeated_lines, f"list_unique({_SQL_L}) * 2 >= len({_SQL_L})"),
     Rule("stuttering", _stuttering, f"len(list_filter(list_zip({_SQL_W}[:-2], {_SQL_W}[2:]), lambda x: x[1] = x[2])) * 10 <= len({_SQL_W}) * 3"),
@@ -169,12 +178,20 @@ def accepted_sql(rules: tuple[Rule, ...] = RULES) -> str:
     return " and ".join([f"trim(t, {_WS}) <> ''", *(f"({r.sql})" for r in rules)])
 
 
+def sample(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS, partitions: int = SAMPLE_PARTITIONS) -> list[str]:
+    """About so many texts: the first ones of partitions that are spread evenly over docs. No other partition is read."""
+    rdd = docs.select(docs[text_col].alias("t")).where("length(t) > 0").rdd
+    total = rdd.getNumPartitions()
+    chosen = sorted({i * total // partitions for i in range(partitions)}) if total > partitions else list(range(total))
+    if not chosen:
+        return []
+    each = -(-rows // len(chosen))
+    return docs.sparkSession.sparkContext.runJob(rdd, lambda found: [r.t for r in islice(found, each)], chosen)
+
+
 def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
     """Each rule with the seconds and the share rejected that a sample of the documents shows."""
-
-    sample = docs.select(docs[text_col].alias("t")).where("length(t) > 0").sample(0.2, seed=7).limit(rows)
-    # Collecting a limit reads partitions only until there are rows enough.
-    texts = pa.array([r.t for r in sample.collect()], pa.large_string())
+    texts = pa.array(sample(docs, text_col, rows), pa.large_string())
     if not len(texts):
         return [(rule, 1e-6, 0.0) for rule in rules]
     classes()
