@@ -41,6 +41,48 @@ def test_held_out_accuracy(spark, labelled, model):
     assert len(found - truth) <= 0.03 * (200 - len(truth))
 
 
+def test_gradients_are_those_of_finite_differences():
+    """One step's direction, by Adam's first moment, against differences of the loss."""
+    rng = np.random.default_rng(3)
+    bags = [(np.sort(rng.choice(50, 6, replace=False)).astype(np.int32), rng.integers(1, 4, 6).astype(np.float32)) for _ in range(8)]
+    labels = np.array([0, 1, 1, 0, 1, 0, 0, 0])
+    weight = len(labels) / (2 * np.bincount(labels))
+
+    def loss(params):
+        e, w, b = params
+        total = 0.0
+        for (ids, counts), y in zip(bags, labels):
+            z = (e[ids].astype(float) * (counts / counts.sum())[:, None]).sum(axis=0) @ w.astype(float) + b
+            total += weight[y] * (np.log(np.exp(z).sum()) - z[y]) / len(labels)
+        return total
+
+    t = toxicity.Trainer()
+    before = [p.astype(np.float64) for p in t.params]
+    steps, toxicity.STEPS = toxicity.STEPS, 0
+    try:
+        t.fit(bags, labels, 1)
+    finally:
+        toxicity.STEPS = steps
+    assert t.step == 1
+    for j, places in ((0, [(int(bags[0][0][k]), d) for k in (0, 3) for d in (0, 5)]), (1, [(0, 0), (3, 1), (5, 0)]), (2, [(0,), (1,)])):
+        for at in places:
+            up, down = [p.copy() for p in before], [p.copy() for p in before]
+            up[j][at] += 1e-4
+            down[j][at] -= 1e-4
+            assert abs((loss(up) - loss(down)) / 2e-4 - t.m[j][at] / 0.1) < 1e-3
+
+
+def test_repeated_labels_ties_and_empty_tables(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (2, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    docs = table(spark, [(1, "you moron " * 5), (2, "fine words here")])
+    model = toxicity.train(docs, labels)
+    assert model is not None  # 1 is toxic, as one of its labels says so
+    assert toxicity.train(docs.limit(0), labels) is None and toxicity.train(docs, labels.limit(0)) is None
+    score = toxicity.scores(pa.array(["fine words here"]), model)[0]
+    tied = toxicity.Model(model.weight, model.bias, float(score))
+    assert 2 not in {r.doc_id for r in toxicity.toxic_documents(docs, tied).collect()} and toxicity.filter_documents(docs, tied).where("doc_id = 2").count() == 1
+
+
 def test_unseen_misspellings_and_long_texts(spark, model):
     rng = random.Random(2)
     clean = " ".join(words(rng, 40))
@@ -110,6 +152,31 @@ def test_rules_match_sql(spark):
     assert 20 < len(got) < len(rows)
 
 
+def test_long_texts_on_both_sides_of_the_rule_on_distinct_words():
+    rule = next(r for r in quality.RULES if r.name == "distinct_words")
+
+    def text(n, distinct):
+        return " ".join(f"w{i % distinct}" for i in range(n))
+
+    cases = [(10_000, 3500, True), (10_000, 3499, False), (10_001, 3501, True), (10_001, 3500, False), (40_000, 7000, True), (40_000, 6999, False)]
+    assert rule.accept(quality.Texts(pa.array([text(n, d) for n, d, _ in cases]))).tolist() == [ok for _, _, ok in cases]
+
+
+def test_the_sample_is_spread_over_the_table(spark):
+    docs = table(spark, [(i, f"text {i}") for i in range(800)]).repartitionByRange(16, "doc_id")
+    found = [int(t.split()[1]) for t in quality.sample(docs, rows=64)]
+    assert len(found) == 64 and {i // 100 for i in found} == set(range(8))
+    some = [int(t.split()[1]) for t in quality.sample(docs, rows=8, partitions=4)]
+    assert len(some) == 8 and len({i // 200 for i in some}) == 4
+    assert quality.sample(docs.limit(0)) == []
+
+
+def test_clashing_columns_are_kept(spark):
+    docs = table(spark, [(1, "Some good words are in this text here."), (1, "Some good words are in this text here."), (2, "%%%% ####")]).withColumn("t", F.lit(7)).withColumn("accepted", F.lit(8))
+    out = quality.filter_documents(docs)
+    assert out.columns == docs.columns and [(r.doc_id, r.t, r.accepted) for r in out.collect()] == [(1, 7, 8)] * 2
+
+
 def test_order_moves_cost_and_not_the_result(spark):
     texts = pa.array([t for _, t in ODD] + ["The quick brown fox. It runs."])
     plain = quality.accepted(texts, list(quality.RULES))
@@ -147,3 +214,14 @@ def test_urls(spark):
 def test_vocabulary_terms_are_checked():
     with pytest.raises(ValueError):
         url_filter.automaton((("two words", 1),), ())
+    with pytest.raises(ValueError):
+        url_filter.automaton((("spam", 1),), (("spam", 1),))
+    assert not {"ref", "feed", "utm", "source", "page", "top", "html", "blog", "www"} & (url_filter.STRICT.keys() | url_filter.SOFT.keys())
+
+
+def test_hosts_of_bad_and_of_ordinary_urls(spark):
+    bad = ["casino-win", "adult-free", "cheap-pills", "free-bets", "spam-farm", "ads-track"]
+    plain = ["blog.thernd", "m.ththor", "www.tionsh", "news.farmers-weekly", "free-software", "sussex-uni", "adulthood"]
+    urls = [f"https://{h}.example.com/en/{k}{tail}" for h in bad + plain for k, tail in enumerate(("/", ".html", "?utm_source=feed", "?page=2&ref=x", "#top"))]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert {r.url for r in url_filter.filter_urls(pages).where("rejected").collect()} == {u for u in urls if any(f"//{h}." in u for h in bad)}
