@@ -12,12 +12,17 @@ grouped by the 64-bit hash of a stretch of ``REACH`` words around the minimiser
 mostly to its right, that to the left for the others. For those that aren't alone in their group all passages around the
 minimiser are hashed in their documents. The passages of a suffix travel in one row, to where all suffixes with the same
 stretch are; there they are grouped by their 64-bit hashes, which leaves the repeated ones. Suffixes are neither put in the
-order of their words nor extended word by word, as only the equality of stretches of fixed length counts. A passage that a
-great many documents share is one sorted run, which can spill, and never a set of pairs.
+order of their words nor extended word by word, as only the equality of stretches of fixed length counts.
 
-Defined cases. Texts of fewer than MIN_WORDS words, null and empty ones included, have no passage. Rows equal in doc_id
-and text are one document: they don't repeat each other and are edited alike. A null doc_id is an id of its own, lowest
-in order. Further columns are ignored, or kept as they are by ``remove_repeats``.
+What is equal within a batch of documents is compared there before anything is shuffled: only the lowest document of a batch
+stands for a passage in its group, so a passage that a third of all documents share has one row a batch there, and no set of
+pairs.
+
+Defined cases. Texts of fewer than MIN_WORDS words, null and empty ones included, have no passage. Very long texts have all
+their passages compared. Rows equal in doc_id and text are one document: they don't repeat each other and are edited alike.
+Rows of one doc_id with different texts are different documents. A null doc_id is an id of its own, lowest in order. Of
+places with tied hashes the leftmost is the minimiser. An empty table has no rows. Further columns are ignored, or kept as
+they are by ``remove_repeats``, whatever their names.
 """
 
 from __future__ import annotations
@@ -79,7 +84,7 @@ class Document:
         side = self.offset > MIN_WORDS - REACH
         own = self.at * 2 + side
         marked = np.zeros(2 * (self.n + MIN_WORDS), bool)
-        marked[places] = True
+        marked[places[places < len(marked)]] = True
         begin = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         count = np.diff(np.append(begin, self.n))
         hit = marked[own[begin]]
@@ -99,92 +104,135 @@ def _documents(column: pa.Array) -> Iterator[tuple[int, Document]]:
             yield k, Document(h[a:b])
 
 
+def _spread(k: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Keys of rows that need no company."""
+    return wordhash.mix(k.view(np.uint64) ^ wordhash.mix(place.astype(np.uint64), 3), 4)
+
+
 def retained(docs: DataFrame) -> DataFrame:
-    """key, k, place of the retained suffixes of docs (k, text)."""
+    """key, k, place, sure of the retained suffixes of docs (k, text).
+
+    Of those with one key in a batch of documents, one has this key; the others, sure to be repeated, get keys of their own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.pieces(batches, 1):
-            k, parts = np.asarray(b.column(0)), {"key": [], "k": [], "place": []}
+            ks, parts = np.asarray(b.column(0)), ([], [], [])
             for i, d in _documents(b.column(1)):
                 key, place = d.keys()
-                parts["key"].append(key.view(np.int64))
-                parts["k"].append(np.full(len(key), k[i]))
-                parts["place"].append(place.astype(np.int32))
-            if parts["key"]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in parts.values()], list(parts))
-
-    return docs.select("k", "text").mapInArrow(run, "key long, k long, place int")
+                for part, x in zip(parts, (key, np.full(len(key), ks[i]), place.astype(np.int32))):
+                    part.append(x)
+            if not parts[0]:
+                continue
+            key, k, place = map(np.concatenate, parts)
+            order = np.argsort(key, kind="stable")
+            key, k, place = key[order], k[order], place[order]
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+            head = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+            other = (k != k[head]) | (place != place[head])
+            sure = np.logical_or.reduceat(other, np.flatnonzero(new))[np.cumsum(new) - 1]
+            key = np.where(sure & ~new, _spread(k, place), key)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(k), pa.array(place), pa.array(sure)], ["key", "k", "place", "sure"])
+
+    return docs.select("k", "text").mapInArrow(run, "key long, k long, place int, sure boolean")
 
 
 def matched(suffixes: DataFrame) -> DataFrame:
     """k, places: for each document the suffixes that have an equal neighbour which is another one."""
+    # A key has as many rows as there are batches of documents with it, at most.
     run = Window.partitionBy("key")
     own = F.struct("k", "place")
-    found = suffixes.withColumn("lo", F.min(own).over(run)).withColumn("hi", F.max(own).over(run)).where("lo <> hi")
+    found = suffixes.withColumn("lo", F.min(own).over(run)).withColumn("hi", F.max(own).over(run)).where("sure or lo <> hi")
     return found.groupBy("k").agg(F.collect_set("place").alias("places"))
 
 
+def _ranks(ids: pa.Array, ks: np.ndarray) -> np.ndarray:
+    """The rank of each row in the order of (id, k), nulls first; equal rows have one rank."""
+    keys = [(i is not None, i, k) for i, k in zip(ids.to_pylist(), ks.tolist())]
+    place = {x: n for n, x in enumerate(sorted(set(keys)))}
+    return np.array([place[x] for x in keys], np.int64)
+
+
 def extended(joined: DataFrame, doc: str, key: str, text: str, places: str, id_type: str) -> DataFrame:
-    """key, doc_id, k, start, hs: for each matched suffix the hashes of its passages, the first of which begins at word start.
+    """key, doc_id, k, start, hs, later, seen: each matched suffix with its passages, the first of which begins at word start.
 
-    joined has all columns of the documents and the places.
+    joined has all columns of the documents and the places. Of the passages that are equal in a batch of documents only
+    those of its lowest document have their hashes in hs. The others, whatever other batches hold, stand somewhere earlier:
+    they are in the bits of later, and their hashes are null. The bits of seen tell the passages that have such others. A
+    suffix with nothing left in hs gets a key of its own.
     """
     at = [joined.columns.index(c) for c in (doc, key, text, places)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.pieces(batches, at[2]):
             ids, k, texts, places = (b.column(i) for i in at)
-            ks, out = np.asarray(k), {"key": [], "row": [], "start": [], "hs": [], "n": []}
+            ks, found = np.asarray(k), []
             for i, d in _documents(texts):
                 key, begin, count = d.passages(np.asarray(places[i].values))
                 if len(begin):
                     first = np.arange(int(count.sum())) + np.repeat(begin - (np.cumsum(count) - count), count)
-                    out["key"].append(key.view(np.int64))
-                    out["row"].append(np.full(len(key), i))
-                    out["start"].append(begin.astype(np.int32))
-                    out["hs"].append(d.runs(first, first + MIN_WORDS).view(np.int64))
-                    out["n"].append(count)
-            if out["key"]:
-                key, row, start, hs, n = (np.concatenate(v) for v in out.values())
-                hs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(hs))
-                columns = [pa.array(key), ids.take(pa.array(row)), pa.array(ks[row]), pa.array(start), hs]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "k", "start", "hs"])
-
-    return joined.mapInArrow(run, f"key long, doc_id {id_type}, k long, start int, hs array<long>")
+                    found.append((key, np.full(len(key), i), begin, count, d.runs(first, first + MIN_WORDS)))
+            if not found:
+                continue
+            rank = _ranks(ids, ks)
+            found.sort(key=lambda x: rank[x[1][0]])
+            key, row, start, n, h = map(np.concatenate, zip(*found))
+            # Equal passages, in the order of their documents.
+            order = np.argsort(h, kind="stable")
+            hs, own = h[order], np.repeat(rank[row], n)[order]
+            new = np.concatenate([[True], hs[1:] != hs[:-1]])
+            other = own != own[np.maximum.accumulate(np.where(new, np.arange(len(hs)), 0))]
+            shared = np.logical_or.reduceat(other, np.flatnonzero(new))[np.cumsum(new) - 1]
+            is_later, is_seen = np.zeros(len(h), bool), np.zeros(len(h), bool)
+            is_later[order], is_seen[order] = other, shared & ~other
+            heads = np.cumsum(n) - n
+            bit = np.int64(1) << (np.arange(len(h)) - np.repeat(heads, n))
+            later, seen = (np.add.reduceat(np.where(x, bit, 0), heads) for x in (is_later, is_seen))
+            open_ = np.logical_or.reduceat(~is_later, heads)
+            key = np.where(open_, key, _spread(ks[row], start))
+            kept = np.repeat(open_, n)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(open_, n, 0))]), pa.int32()), pa.array(h[kept].view(np.int64), mask=is_later[kept]))
+            columns = [pa.array(key.view(np.int64)), ids.take(pa.array(row)), pa.array(ks[row]), pa.array(start.astype(np.int32)), lists, pa.array(later), pa.array(seen)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "k", "start", "hs", "later", "seen"])
+
+    return joined.mapInArrow(run, f"key long, doc_id {id_type}, k long, start int, hs array<long>, later long, seen long")
 
 
 def spans(suffixes: DataFrame) -> DataFrame:
-    """doc_id, k, removed, start_word, end_word, first_doc_id: what repeated passages cover; the words [start, end)."""
-    rows = suffixes.repartition("key").select("key", "doc_id", "k", "start", F.posexplode("hs").alias("j", "h"))
-    # Equal passages have equal keys, so that they are sorted and compared where they are.
+    """doc_id, k, removed, start_word, end_word: what repeated passages cover; the words [start, end)."""
+    rows = suffixes.repartition("key").select("key", "doc_id", "k", "start", F.col("later").alias("known"), "seen", F.posexplode_outer("hs").alias("j", "h"))
+    rows = rows.where("h is not null or j is null")
+    # Equal passages have equal keys, so that they are sorted and compared where they are, one row for each batch.
     run = Window.partitionBy("key", "h")
     own = F.struct("doc_id", "k", (F.col("start") + F.col("j")).alias("at"))
-    rows = rows.withColumn("own", own).withColumn("lo", F.min("own").over(run)).withColumn("hi", F.max("own").over(run)).where("lo <> hi")
-    bit, later, end = F.expr("shiftleft(1L, j)"), F.col("own") != F.col("lo"), F.lit(MIN_WORDS)
+    rows = rows.withColumn("own", own).withColumn("lo", F.min("own").over(run)).withColumn("hi", F.max("own").over(run))
+    bit, end = F.expr("shiftleft(1L, j)"), F.lit(MIN_WORDS)
+    repeated = F.col("h").isNotNull() & ((F.col("lo") != F.col("hi")) | (F.col("seen").bitwiseAND(bit) != 0))
+    rows = rows.withColumn("repeated", F.coalesce(repeated, F.lit(False))).where("repeated or known <> 0")
+    later = F.col("repeated") & (F.col("own") != F.col("lo"))
     over = later & (F.col("lo.k") == F.col("k")) & F.col("lo.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("own.at") - F.col("lo.at") < MIN_WORDS)
     # A suffix has at most MIN_WORDS - SEED + 1 passages: which of them repeat goes into the bits of one number.
-    masks = rows.groupBy("key", "k", "start").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.coalesce(F.bit_or(F.when(later & ~over, bit)), F.lit(0)).cast("long").alias("later"),
-        F.coalesce(F.bit_or(F.when(~later, bit)), F.lit(0)).cast("long").alias("first"),
-        F.min(F.when(later, F.col("lo.doc_id"))).alias("first_doc_id"),
+    masks = rows.groupBy("key", "doc_id", "k", "start").agg(
+        F.coalesce(F.bit_or(F.when(later & ~over, bit)), F.lit(0)).cast("long").bitwiseOR(F.max("known")).alias("later"),
+        F.coalesce(F.bit_or(F.when(F.col("repeated") & ~later, bit)), F.lit(0)).cast("long").alias("first"),
         F.collect_list(F.when(over, F.struct((F.col("lo.at") + end).alias("s"), (F.col("own.at") + end).alias("e")))).alias("parts"),
     )
     no_parts = F.array().cast("array<struct<s:int,e:int>>")
     kinds = F.array(
-        F.struct(F.lit(True).alias("removed"), F.col("later").alias("mask"), F.col("first_doc_id").alias("of"), F.col("parts").alias("parts")),
-        F.struct(F.lit(False).alias("removed"), F.col("first").alias("mask"), F.col("doc_id").alias("of"), no_parts.alias("parts")),
+        F.struct(F.lit(True).alias("removed"), F.col("later").alias("mask"), F.col("parts").alias("parts")),
+        F.struct(F.lit(False).alias("removed"), F.col("first").alias("mask"), no_parts.alias("parts")),
     )
     found = masks.select("k", "doc_id", "start", F.explode(kinds).alias("x")).where("x.mask <> 0 or size(x.parts) > 0")
-    found = found.select("k", "doc_id", "start", "x.removed", "x.mask", "x.parts", F.col("x.of").alias("first_doc_id")).repartition("k")
+    found = found.select("k", "doc_id", "start", "x.removed", "x.mask", "x.parts").repartition("k")
     whole = F.expr(f"transform(filter(sequence(0, {MIN_WORDS - SEED}), j -> shiftright(mask, j) & 1 = 1), j -> named_struct('s', start + j, 'e', start + j + {MIN_WORDS}))")
-    found = found.select("k", "doc_id", "removed", "first_doc_id", F.explode(F.concat(whole, "parts")).alias("x")).select("k", "doc_id", "removed", "first_doc_id", "x.s", "x.e")
-    by = Window.partitionBy("k", "removed").orderBy("s", "e")
+    found = found.select("k", "doc_id", "removed", F.explode(F.concat(whole, "parts")).alias("x")).select("k", "doc_id", "removed", "x.s", "x.e")
+    # These windows see one document.
+    by = Window.partitionBy("k", "doc_id", "removed").orderBy("s", "e")
     reached = F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1))
     found = found.withColumn("gap", (F.col("s") > reached).cast("int"))
     found = found.withColumn("island", F.sum(F.coalesce("gap", F.lit(0))).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    out = found.groupBy("k", "removed", "island").agg(F.first("doc_id").alias("doc_id"), F.min("s").alias("start_word"), F.max("e").alias("end_word"), F.min("first_doc_id").alias("first_doc_id"))
-    return out.select("doc_id", "k", "removed", "start_word", "end_word", "first_doc_id")
+    out = found.groupBy("k", "doc_id", "removed", "island").agg(F.min("s").alias("start_word"), F.max("e").alias("end_word"))
+    return out.select("doc_id", "k", "removed", "start_word", "end_word")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, str]:
@@ -200,10 +248,10 @@ def _spans(keyed: DataFrame, key: str, places: str, id_col: str, text_col: str)
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, k, removed, start_word, end_word, first_doc_id: the stretches of words that repeated passages cover.
+    """doc_id, k, removed, start_word, end_word: the stretches of words that repeated passages cover.
 
     removed tells those that also stand earlier; the others are first occurrences. A document can have both, and they can
-    overlap. first_doc_id is the lowest doc_id in which a passage of the stretch stands first.
+    overlap.
     """
     keyed, key, places = _keyed(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), "doc_id", "text")
     return _spans(keyed, key, places, "doc_id", "text")
@@ -228,8 +276,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     keyed, key, places = _keyed(docs, id_col, text_col)
     found = _spans(keyed, key, places, id_col, text_col).where("removed")
-    (cuts,) = common.fresh(keyed, "cuts")
-    found = found.groupBy("k").agg(F.collect_list(F.struct("start_word", "end_word")).alias("cuts")).toDF(key, cuts)
+    cuts, k, i = common.fresh(keyed, "cuts", "found_k", "found_id")
+    found = found.groupBy("k", "doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("cuts")).toDF(k, i, cuts)
+    # A key is the document's together with its id.
+    same = (keyed[key] == found[k]) & keyed[id_col].eqNullSafe(found[i])
 
     def edit(text: pa.Array, cuts: pa.Array) -> pa.Array:
         out = [None if t is None or c is None else without_words(t, [(x["start_word"], x["end_word"]) for x in c]) for t, c in zip(text.to_pylist(), cuts.to_pylist())]
@@ -238,7 +288,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Only edited texts go to Python.
     cut = F.col(cuts).isNotNull()
     (new,) = common.fresh(keyed.withColumn(cuts, F.lit(0)), "edited_text")
-    joined = keyed.join(found, key, "left").withColumn(new, F.arrow_udf(edit, "string")(F.when(cut, F.col(text_col)), F.col(cuts)))
+    joined = keyed.join(found, same, "left").withColumn(new, F.arrow_udf(edit, "string")(F.when(cut, F.col(text_col)), F.col(cuts)))
     values = {text_col: F.when(cut, F.col(new)).otherwise(F.col(text_col))}
     if n_chars_col in docs.columns:
         values[n_chars_col] = F.when(cut, F.length(new).cast(docs.schema[n_chars_col].dataType)).otherwise(F.col(n_chars_col))
