@@ -28,6 +28,8 @@ class Model:
     config: TrainerConfig
     metrics: list[dict] = field(default_factory=list)
     stop_reason: str | None = None
+    #: Seconds of the training.
+    seconds: float | None = None
     #: Ids that special-token literals stand for.
     special_ids: dict[str, int] = field(default_factory=dict)
     encoding: str = GPT2
@@ -94,7 +96,8 @@ class Model:
         special = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}
         added = [{"id": i, "content": t, **special} for t, i in sorted(self.special_ids.items(), key=lambda x: x[1])]
         splits = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-        pattern = _SPACE_RUN.get(self.config.segmentation.mode)
+        # A run that cuts by chance only can't be told to those who read the file.
+        pattern = _SPACE_RUN.get(self.config.segmentation.mode) if self.config.segmentation.probability >= 1 else None
         if pattern:
             cut = {"type": "Split", "pattern": {"Regex": pattern}, "behavior": "Isolated", "invert": False}
             splits = {"type": "Sequence", "pretokenizers": [splits, cut]}
@@ -124,10 +127,11 @@ class Model:
         return json.dumps(out, ensure_ascii=False, indent=2 if pretty else None)
 
     def save(self, path: str, pretty: bool = False) -> None:
+        os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
         with open(path, "w", encoding="utf-8") as f:
             f.write(self.to_json(pretty))
 
-    def save_family(self, path: str, sizes: list[int], template: str | None = None) -> list[str]:
+    def save_family(self, path: str, sizes: list[int], template: str | None = None, pretty: bool = False) -> list[str]:
         """Writes derived models, one a size; template names them with {size}, beside path if it is relative."""
         stem, ext = os.path.splitext(path)
         out = []
@@ -137,11 +141,18 @@ class Model:
             else:
                 to = template.replace("{size}", str(size))
                 to = to if os.path.isabs(to) else os.path.join(os.path.dirname(path), to)
-            self.derived(size).save(to)
+            self.derived(size).save(to, pretty)
             out.append(to)
         return out
 
 
+def _segmentation(pre: dict | None) -> Segmentation:
+    """The cutting that a file's pre-tokenizer names; none if it names none that is known here."""
+    parts = (pre or {}).get("pretokenizers", [pre] if pre else [])
+    patterns = [p.get("pattern", {}).get("Regex") for p in parts if p.get("type") == "Split"]
+    return Segmentation(next((mode for mode, pattern in _SPACE_RUN.items() if pattern in patterns), "none"))
+
+
 def load(path: str, legacy: str = "auto") -> Model:
     """A model from a tokenizer.json. legacy - auto, plain or escaped - tells how files without a byte-level decoder write bytes."""
     with open(path, encoding="utf-8") as f:
@@ -171,7 +182,7 @@ def load(path: str, legacy: str = "auto") -> Model:
     results = [vocab[a + b] for a, b in pairs]
     reasoning = all(layout.FIRST_TRAILING + i < len(tokens) and tokens[layout.FIRST_TRAILING + i] == g.encode() for i, g in enumerate(layout.REASONING))
     custom = tuple(t for t in sorted(added, key=added.get) if t not in layout.LEADING)
-    config = TrainerConfig(vocab_size=max(len(tokens), layout.FIRST_TRAILING + 49 * reasoning + len(custom)), custom_specials=custom, reasoning=reasoning, segmentation=Segmentation())
+    config = TrainerConfig(vocab_size=max(len(tokens), layout.FIRST_TRAILING + 49 * reasoning + len(custom)), custom_specials=custom, reasoning=reasoning, segmentation=_segmentation(data.get("pre_tokenizer")))
     return Model(tokens, merges, config, special_ids=added, encoding=encoding, overrides=overrides, results=results)
 
 

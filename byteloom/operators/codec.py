@@ -1,15 +1,15 @@
 """Encoding bytes to ids and back.
 
 Merges whose parts come from earlier ranks can be applied to a whole text rank by rank, as replacements in Catalyst; that
-is done up to ``FOLD`` merges. Beyond, or with merges out of order, distinct texts are encoded once by a heap in Arrow
-batches.
+is done up to ``FOLD`` merges. Beyond, or with merges out of order, texts are encoded by a heap in Arrow batches. Where no
+token reaches over the edge of a run of white space, they are cut there, and a worker remembers the runs it has met.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 import pyarrow as pa
@@ -22,6 +22,9 @@ from byteloom.model import Model
 
 #: Most merges that are folded into one expression.
 FOLD = 256
+#: Runs that a worker remembers.
+REMEMBERED = 200_000
+_RUNS = re.compile(rb"[\t-\r ]+|[^\t-\r ]+").findall
 
 
 def in_order(model: Model) -> bool:
@@ -60,13 +63,26 @@ def encoder(model: Model, literals: bool = True) -> Callable[[bytes], list[int]]
                 heapq.heappush(heap, (r, before[i]))
         return [p for p in part if p >= 0]
 
+    apart = all(len(_RUNS(model.tokens[i])) == 1 for i in result)
+    known: dict[bytes, list[int]] = {}
+
     def encode(data: bytes) -> list[int]:
         out: list[int] = []
         for piece in split(data) if split else [data]:
             if piece in special:
                 out.append(special[piece])
-            elif piece:
+            elif not apart:
                 out += merge([byte[b] for b in piece])
+            else:
+                for run in _RUNS(piece):
+                    ids = known.get(run)
+                    if ids is None:
+                        ids = merge([byte[b] for b in run])
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        if len(run) <= 64:
+                            known[run] = ids
+                    out += ids
         return out
 
     return encode
@@ -89,19 +105,19 @@ def encode(df: DataFrame, model: Model, content: str = "content", out: str = "to
     """df with the ids of its binary column; null stays null."""
     if len(model.merges) <= FOLD and in_order(model):
         return df.withColumn(out, fold(F.col(content), model, literals))
-    return _encode_distinct(df, model, content, out, literals)
+    return df.withColumn(out, heaped(F.col(content), model, literals))
+
 
+def heaped(content: Column, model: Model, literals: bool = True) -> Column:
+    """ids of a binary column by the heap, in Arrow batches."""
+    made: list[Callable[[bytes], list[int]]] = []
 
-def _encode_distinct(df: DataFrame, model: Model, content: str, out: str, literals: bool) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = encoder(model, literals)
-        for b in batches:
-            ids = pa.array([None if x is None else f(x) for x in b.column(0).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), ids], ["_piece", "_ids"])
+    def run(values: pa.Array) -> pa.Array:
+        if not made:
+            made.append(encoder(model, literals))
+        return pa.array([None if x is None else made[0](x) for x in values.to_pylist()], pa.list_(pa.int32()))
 
-    key = F.col(content)
-    pieces = df.select(key.alias("_piece")).distinct().mapInArrow(run, "_piece binary, _ids array<int>")
-    return df.join(pieces, key.eqNullSafe(F.col("_piece")), "left").select(*df.columns, F.col("_ids").alias(out))
+    return F.arrow_udf(run, "array<int>")(content)
 
 
 def decode(df: DataFrame, model: Model, tokens: str = "tokens", out: str = "content", skip_special: bool = False) -> DataFrame:
@@ -126,8 +142,20 @@ def _joined(table: list[bytes]) -> Callable:
     return join
 
 
-def token_counts(df: DataFrame, model: Model, text: str = "text", first_bytes: int | None = None) -> DataFrame:
-    """df with n_tokens, the number of tokens of a string's first bytes."""
-    b = F.encode(F.col(text), "UTF-8")
-    part = F.substring(b, 1, F.lit(first_bytes)) if first_bytes else b
-    return encode(df.withColumn("_bytes", part), model, "_bytes", "_tokens").withColumn("n_tokens", F.size("_tokens")).drop("_bytes", "_tokens")
+def sample_text(content: Column, first_bytes: int | None = None) -> Column:
+    """The first bytes as text, in UTF-8 if they are that, else byte by byte in Latin-1; as the bytes of that text in UTF-8."""
+    part = F.substring(content, 1, F.lit(first_bytes)) if first_bytes else content
+    return F.when(F.is_valid_utf8(part.cast("string")), part).otherwise(F.encode(F.decode(part, "ISO-8859-1"), "UTF-8"))
+
+
+def token_counts(df: DataFrame, model: Model, content: str = "content", first_bytes: int | None = None, out: str = "n_tokens") -> DataFrame:
+    """df with the number of tokens of a binary column's first bytes (``sample_text``)."""
+    counted = encode(df.withColumn("_bytes", sample_text(F.col(content), first_bytes)), model, "_bytes", "_tokens")
+    return counted.withColumn(out, F.size("_tokens")).drop("_bytes", "_tokens")
+
+
+def compared(df: DataFrame, models: dict[str, Model], content: str = "content", first_bytes: int | None = None) -> DataFrame:
+    """df with a column for each model: the tokens that it makes of the first bytes."""
+    for name, model in models.items():
+        df = token_counts(df, model, content, first_bytes, name)
+    return df

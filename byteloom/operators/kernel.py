@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import heapq
+import os
+import resource
+import time
 from collections import defaultdict
 from collections.abc import Iterable
 from dataclasses import dataclass, field
@@ -14,6 +17,15 @@ from byteloom.functions.bytes import refused
 TARGET, ITERATIONS, NO_PAIRS, PLATEAU = "target_vocab_reached", "max_iterations_reached", "no_eligible_pairs", "plateau_reached"
 
 
+def resident_kb() -> int:
+    """Memory that this process holds now; where the system doesn't tell, the most that it has held."""
+    try:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") // 1024
+    except OSError:
+        return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+
+
 @dataclass
 class Trained:
     """tokens: bytes by id, without padding; merges by rank; one metrics row a merge."""
@@ -22,6 +34,7 @@ class Trained:
     merges: list[tuple[int, int]] = field(default_factory=list)
     metrics: list[dict] = field(default_factory=list)
     stop_reason: str = TARGET
+    seconds: float = 0.0
 
 
 class Decider:
@@ -35,6 +48,12 @@ class Decider:
         self.floor = max(config.plateau_floor, config.min_frequency)
         self.first: int | None = None
         self.streak = 0
+        self.began = self.last = time.perf_counter()
+
+    def done(self, stop: str) -> Trained:
+        """What was trained, with the reason of its end."""
+        self.out.stop_reason, self.out.seconds = stop, time.perf_counter() - self.began
+        return self.out
 
     def fits(self, pair: tuple[int, int]) -> bool:
         """Whether the pair's bytes have an allowed length; other pairs are no candidates."""
@@ -72,7 +91,19 @@ class Decider:
         self.known.add(token)
         self.out.tokens.append(token)
         self.out.merges.append(pair)
-        self.out.metrics.append({"iteration": len(self.out.merges), "best_frequency": n, "merges_applied": applied, "distinct_pairs": distinct})
+        now = time.perf_counter()
+        self.out.metrics.append(
+            {
+                "iteration": len(self.out.merges),
+                "best_frequency": n,
+                "merges_applied": applied,
+                "distinct_pairs": distinct,
+                "elapsed_iteration": now - self.last,
+                "elapsed_total": now - self.began,
+                "rss_kb": resident_kb(),
+            }
+        )
+        self.last = now
         return len(self.out.tokens) - 1
 
 
@@ -149,8 +180,7 @@ def train_words(words: Iterable[tuple[str, int]], config: TrainerConfig) -> Trai
         for p, d in delta.items():
             if token in p and counts[p] >= config.min_frequency and decider.fits(ids(p)):
                 heapq.heappush(heap, (-counts[p], p))
-    decider.out.stop_reason = stop
-    return decider.out
+    return decider.done(stop)
 
 
 def padding(tokens: list[bytes], size: int) -> list[bytes]:

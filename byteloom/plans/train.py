@@ -8,8 +8,6 @@ is above that of every pair (x, a) and (b, y) that stands in the words, so that
 
 from __future__ import annotations
 
-import resource
-import time
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
@@ -29,20 +27,16 @@ TOP = 512
 CUT_EVERY = 8
 
 
-def _stamp(row: dict, began: float, last: float) -> None:
-    now = time.perf_counter()
-    row |= {"elapsed_iteration": now - last, "elapsed_total": now - began, "rss_kb": resource.getrusage(resource.RUSAGE_SELF).ru_maxrss}
-
-
 def _loop(words: DataFrame, config: TrainerConfig, batch: int | None = None) -> kernel.Trained:
     decider = kernel.Decider(config)
-    began = last = time.perf_counter()
     rejected: set[str] = set()
     rounds = 0
     stop = decider.full()
     words = words.persist()
     while stop is None:
-        counts = pairs.pair_counts(words)
+        # Kept for the round: looking further down the list counts nothing anew.
+        counts = pairs.pair_counts(words).persist()
+        distinct = counts.count()
         k = TOP
         while True:
             found = [(r.pair, r.n) for r in pairs.top_pairs(counts, k).collect()]
@@ -78,11 +72,11 @@ def _loop(words: DataFrame, config: TrainerConfig, batch: int | None = None) ->
                 before = pairs.rewritten(F.col("word"), taken)
                 after = pairs.rewritten(before, [(p, "")])
                 applied = words.where(F.contains("word", F.lit(p[0]))).agg(F.sum(F.col("weight") * (F.length(before) - F.length(after)))).first()[0] or 0
-            token = decider.merge(_ids(p), n, int(applied), None)
-            _stamp(decider.out.metrics[-1], began, last)
-            last = time.perf_counter()
+            # Pairs are counted once a round, so this is their number before its first merge.
+            token = decider.merge(_ids(p), n, int(applied), distinct)
             taken.append((p, layout.char_of(token)))
             limit = max(limit, raised.get("e" + p[0], 0), raised.get("b" + p[1], 0))
+        counts.unpersist()
         if stop is None and not taken:
             stop = kernel.NO_PAIRS if not more or (found and found[-1][1] < config.min_frequency) else None
         if stop is None:
@@ -97,8 +91,7 @@ def _loop(words: DataFrame, config: TrainerConfig, batch: int | None = None) ->
         words.unpersist()
         words = new
     words.unpersist()
-    decider.out.stop_reason = stop
-    return decider.out
+    return decider.done(stop)
 
 
 def _ids(pair: str) -> tuple[int, int]:
@@ -107,7 +100,7 @@ def _ids(pair: str) -> tuple[int, int]:
 
 def finished(trained: kernel.Trained, config: TrainerConfig, pad: bool = True) -> Model:
     tokens = trained.tokens + (kernel.padding(trained.tokens, config.vocab_size) if pad else [])
-    return Model(tokens, trained.merges, config, trained.metrics, trained.stop_reason)
+    return Model(tokens, trained.merges, config, trained.metrics, trained.stop_reason, trained.seconds)
 
 
 def train_on_words(words: DataFrame, config: TrainerConfig, engine: str = "auto", batch: int | None = None) -> Model:
@@ -121,10 +114,7 @@ def train_on_words(words: DataFrame, config: TrainerConfig, engine: str = "auto"
     if not n:
         raise ValueError("there is nothing to train on")
     if engine == "memory" or (engine == "auto" and n <= MEMORY_WORDS and chars <= MEMORY_CHARS):
-        began = time.perf_counter()
         trained = kernel.train_words(((r.word, r.weight) for r in words.where(F.length("word") > 1).toLocalIterator()), config)
-        for m in trained.metrics:
-            _stamp(m, began, began)
     else:
         trained = _loop(words, config, batch)
     words.unpersist()

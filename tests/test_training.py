@@ -161,7 +161,7 @@ def test_encoding_and_decoding(spark, trained):
     f = codec.encoder(model)
     folded = codec.encode(df, model)
     assert [r.tokens for r in folded.collect()] == [f(v) for v in values] + [None]
-    heap = {None if r.content is None else bytes(r.content): r.tokens for r in codec._encode_distinct(df, model, "content", "tokens", True).collect()}
+    heap = {None if r.content is None else bytes(r.content): r.tokens for r in df.withColumn("tokens", codec.heaped(F.col("content"), model)).collect()}
     assert heap == {v: f(v) for v in values} | {None: None}
     back = codec.decode(folded, model, out="back").collect()
     assert [r.back for r in back] == [*values, None]
@@ -224,22 +224,6 @@ def test_stream_counts_words(spark, tmp_path):
     assert model.size == 270
 
 
-def test_command_line(spark, tmp_path, capsys):
-    data = bytes(range(256)) * 8 + b"the then they " * 40
-    (tmp_path / "x.bin").write_bytes(data)
-    out = str(tmp_path / "t.json")
-    cli.main(["--master", "local[2]", "train", str(tmp_path / "x.bin"), "-o", out, "--vocab-size", "330", "--min-frequency", "2", "--chunk-size", "512", "--family-size", "320"])
-    cli.main(["encode", "-m", out, "--json", str(tmp_path / "x.bin")])
-    ids = json.loads(capsys.readouterr().out.strip().splitlines()[-1])["tokens"]
-    (tmp_path / "ids").write_text(" ".join(map(str, ids)))
-    cli.main(["decode", "-m", out, "--input", str(tmp_path / "ids"), "-o", str(tmp_path / "back")])
-    assert (tmp_path / "back").read_bytes() == data
-    cli.main(["chunk-train", str(tmp_path / "x.bin"), "-o", str(tmp_path / "c.json"), "--vocab-size", "330", "--min-frequency", "2", "--chunk-size", "1024", "--report", str(tmp_path / "r.json")])
-    assert json.loads((tmp_path / "r.json").read_text())["chunks"]
-    cli.main(["info", out])
-    assert "from id 263" in capsys.readouterr().out
-
-
 def test_query_of_the_spark_loop_gives_all_merges_of_train_merges(spark, tmp_path):
     rng = random.Random(6)
     rows = [(i, " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 5))) for _ in range(60)), "s") for i in range(60)]
