@@ -21,7 +21,7 @@ from byteloom.functions.bytes import latin1
 from byteloom.model import Model
 
 #: Most merges that are folded into one expression.
-FOLD = 256
+FOLD = 64
 #: Runs that a worker remembers.
 REMEMBERED = 200_000
 _RUNS = re.compile(rb"[\t-\r ]+|[^\t-\r ]+").findall

@@ -32,7 +32,8 @@ def is_delimiter(run: Column, mode: str) -> Column:
 
 def draw(seed: int, sequence: Column, position: Column) -> Column:
     """A number in [0, 1) that depends on the seed, the sequence and the place, and on no partitioning."""
-    return F.pmod(F.xxhash64(F.lit(seed), sequence, position), F.lit(1 << 40)) / float(1 << 40)
+    digest = F.md5(F.concat_ws(":", F.lit(seed), sequence, position))
+    return F.conv(F.substring(digest, 1, 10), 16, 10).cast("double") / float(1 << 40)
 
 
 def segments(df: DataFrame, config: Segmentation, content: str = "content", sequence: str | None = None) -> DataFrame:

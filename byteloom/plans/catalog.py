@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 
 from byteloom.config import Segmentation, TrainerConfig
 from byteloom.functions import bytes as fb
+from byteloom.model import Model, info, load, merge_overlap, token_lengths
 from byteloom.model import vocab_stats as stats_of_tokens
-from byteloom.operators import codec, pairs, segment, stats
-from byteloom.plans import chunked, train
+from byteloom.operators import codec, kernel, pairs, segment, stats
+from byteloom.plans import chunked, sql, train
+from byteloom.sources import extract_field, token_lists
 from byteloom.sources.files import chunked as in_chunks
 
 ASCII = Segmentation("ascii")
@@ -52,6 +55,24 @@ def segment_glued_counts(spark: SparkSession, d: str) -> DataFrame:
     return segment.words(_documents(spark, d), Segmentation("ascii", 0.5, 7), sequence="doc_id").select(_hex().alias("word"), "weight")
 
 
+def segment_null_glued_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Line feeds stand in for NULs; at each edge of a run a hash draws whether it cuts."""
+    docs = _documents(spark, d).withColumn("content", fb.from_latin1(F.replace(fb.latin1(F.col("content")), F.lit("\n"), F.lit("\0"))))
+    return segment.words(docs, Segmentation("null", 0.5, 7), sequence="doc_id").select(_hex().alias("word"), "weight")
+
+
+def segment_none_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Whole sequences; the empty ones are dropped."""
+    out = segment.words(_documents(spark, d), Segmentation("ascii", 0.0))
+    return out.select(F.md5(F.encode("word", "ISO-8859-1")).alias("digest"), F.length("word").alias("n_bytes"), "weight")
+
+
+def segments_listed(spark: SparkSession, d: str) -> DataFrame:
+    """Every segment with its place, and whether it is a delimiter."""
+    out = segment.segments(_documents(spark, d), ASCII, sequence="doc_id")
+    return out.select(F.col("seq").alias("doc_id"), "pos", F.hex("seg").alias("seg"), "is_delim")
+
+
 def byte_histogram(spark: SparkSession, d: str) -> DataFrame:
     return stats.byte_histogram(_documents(spark, d))
 
@@ -105,6 +126,20 @@ def json_field_extract(spark: SparkSession, d: str) -> DataFrame:
     return events.select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
+def json_text_field(spark: SparkSession, d: str) -> DataFrame:
+    """A string at a path of JSON lines, made of the documents; a line without it would be an error."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("text is not null")
+    line = F.to_json(F.struct(F.struct(F.col("text").alias("b")).alias("a"), "lang"))
+    return docs.select("doc_id", F.md5(F.encode(extract_field(line, ["a", "b"]), "UTF-8")).alias("digest"))
+
+
+def token_list_sums(spark: SparkSession, d: str) -> DataFrame:
+    """Ids written as text, with white space of any kind between."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    ids = token_lists(F.concat(F.lit(" "), F.col("doc_id"), F.lit("\t\n"), F.coalesce("n_chars", F.lit(0)), F.lit("\n")))
+    return docs.select("doc_id", F.size(ids).alias("n"), F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
 def _offers(spark: SparkSession, d: str) -> DataFrame:
     """index, left, right, best_frequency: the frequent pairs of each source's words."""
     words = _documents(spark, d).select("source", F.explode(segment.runs(F.col("content"), "ascii")).alias("word")).groupBy("source", "word").agg(F.count("*").alias("weight"))
@@ -119,8 +154,10 @@ def _combined(spark: SparkSession, d: str, mode: str) -> DataFrame:
     if mode == "entropy":
         whole = _documents(spark, d).groupBy("source").agg(F.sum(F.octet_length("content")).alias("byte_len"), F.avg(stats.entropy_of(F.col("content"))).alias("entropy"))
         weights = stats.chunk_weights(whole).select(F.col("source").alias("index"), "weight")
-    out = chunked.ordered(chunked.combined_merges(offers, weights), mode, 20)
-    return out.select(F.hex("left").alias("left"), F.hex("right").alias("right"), "total", "support", F.round("weighted", 4).alias("weighted"))
+    # At most all pairs of two bytes, whose places in the order are numbered.
+    out = chunked.ordered(chunked.combined_merges(offers, weights), mode, 20).coalesce(1)
+    out = out.withColumn("place", (F.monotonically_increasing_id() + 1).cast("long"))
+    return out.select("place", F.hex("left").alias("left"), F.hex("right").alias("right"), "total", "support", F.round("weighted", 4).alias("weighted"))
 
 
 def combine_frequency(spark: SparkSession, d: str) -> DataFrame:
@@ -166,45 +203,174 @@ def frequent_words(spark: SparkSession, d: str) -> DataFrame:
 _CONFIG = TrainerConfig(vocab_size=400, min_frequency=4, segmentation=ASCII)
 
 
+_RULES = TrainerConfig(vocab_size=336, min_frequency=4, require_letter=True, forbid_leading_space=True)
+_CHUNKED = TrainerConfig(vocab_size=328, min_frequency=4, segmentation=ASCII)
+
+
+def _digest(tokens: str = "tokens") -> object:
+    return F.md5(F.array_join(tokens, ","))
+
+
+def _with_metrics(spark: SparkSession, model: Model) -> DataFrame:
+    metrics = model.metrics_table(spark).select((F.col("iteration") - 1).alias("rank"), "best_frequency", "merges_applied")
+    return model.merge_table(spark).join(metrics, "rank")
+
+
 def train_merges(spark: SparkSession, d: str) -> DataFrame:
-    model = train.train(_documents(spark, d), _CONFIG)
-    return model.merge_table(spark).join(model.metrics_table(spark).select((F.col("iteration") - 1).alias("rank"), "best_frequency", "merges_applied"), "rank")
+    return _with_metrics(spark, train.train(_documents(spark, d), _CONFIG))
 
 
 def train_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     return train.train(_documents(spark, d), _CONFIG).vocabulary(spark).select("id", F.hex("bytes").alias("bytes"), "kind", "token")
 
 
+def train_padded_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    """Ten merges, and runs of white space that fill the vocabulary."""
+    model = train.train(_documents(spark, d), _CONFIG.with_(max_iterations=10, vocab_size=340))
+    return model.vocabulary(spark).select("id", F.hex("bytes").alias("bytes"), "kind", "token")
+
+
+def train_whole_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """Merges over uncut documents under the rules for white space."""
+    return _with_metrics(spark, train.train(_documents(spark, d), _RULES))
+
+
 def train_merges_spark(spark: SparkSession, d: str) -> DataFrame:
     """The merges of train_merges by the loop that stays on Spark."""
-    return train.train(_documents(spark, d), _CONFIG, engine="spark").merge_table(spark)
+    return _with_metrics(spark, train.train(_documents(spark, d), _CONFIG, engine="spark"))
+
+
+def train_plateau(spark: SparkSession, d: str) -> DataFrame:
+    """Training that ends with the third pair in a row that is rarer than a fifth of the first."""
+    model = train.train(_documents(spark, d), _CONFIG.with_(plateau=True, plateau_floor=1, plateau_patience=3, plateau_divisor=5))
+    return _with_metrics(spark, model).withColumn("stop_reason", F.lit(model.stop_reason))
+
+
+def derived_merges(spark: SparkSession, d: str) -> DataFrame:
+    """A smaller model of a trained one."""
+    return train.train(_documents(spark, d), _CONFIG).derived(350).merge_table(spark)
+
+
+def saved_and_loaded(spark: SparkSession, d: str) -> DataFrame:
+    """The vocabulary that a tokenizer.json gives back."""
+    model = train.train(_documents(spark, d), _CONFIG.with_(vocab_size=340))
+    with tempfile.TemporaryDirectory() as folder:
+        model.save(f"{folder}/t.json")
+        back = load(f"{folder}/t.json")
+    return back.vocabulary(spark).select("id", F.hex("bytes").alias("bytes"), F.lit(back.config.segmentation.mode).alias("mode"))
+
+
+def model_info(spark: SparkSession, d: str) -> DataFrame:
+    """What the description of a tokenizer.json counts."""
+    model = train.train(_documents(spark, d), _CONFIG.with_(vocab_size=340))
+    with tempfile.TemporaryDirectory() as folder:
+        model.save(f"{folder}/t.json")
+        found = info(f"{folder}/t.json")
+    row = (found["base_vocab_size"], found["special_vocab_size"], found["total_vocab_size"], found["merges"], found["reasoning_tokens"]["count"], len(found["reasoning_tokens"]["mismatches"]))
+    return spark.createDataFrame([row], "base int, special int, total int, merges int, glyphs int, mismatches int")
+
+
+def models_compared(spark: SparkSession, d: str) -> DataFrame:
+    """Merges that the models of documents and of benchmark items share, and lengths of the former's tokens."""
+    items = spark.read.parquet(f"{d}/benchmark.parquet").select(F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    config = _CONFIG.with_(vocab_size=344)
+    one, two = train.train(_documents(spark, d), config), train.train(items, config)
+    row = merge_overlap(one, two, 16) | token_lengths(one)
+    return spark.createDataFrame([tuple(row.values())], "all int, top int, bottom int, avg_len double, share_ge8 double").select("all", "top", "bottom", F.round("avg_len", 9).alias("avg_len"), F.round("share_ge8", 9).alias("share_ge8"))
+
+
+def _doc_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents cut into chunks of 32 KiB, numbered."""
+    out = in_chunks(_documents(spark, d), 32 << 10)
+    return out.select((F.col("doc_id") * (1 << 20) + F.col("chunk_index")).alias("index"), "content")
+
+
+def _chunk_merges(spark: SparkSession, d: str, mode: str) -> DataFrame:
+    model = chunked.train_chunks(_doc_chunks(spark, d), _CHUNKED, mode).model
+    t = model.tokens
+    rows = [(r, t[a].hex().upper(), t[b].hex().upper()) for r, (a, b) in enumerate(model.merges)]
+    return spark.createDataFrame(rows, "rank int, left string, right string")
 
 
 def chunk_train(spark: SparkSession, d: str) -> DataFrame:
-    """A vocabulary for each source, combined by support."""
-    by_source = _documents(spark, d).groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", fb.latin1(F.col("content")).alias("t")))), lambda x: x["t"]), "\n").alias("t"))
-    chunks = by_source.select(F.xxhash64("source").alias("index"), fb.from_latin1(F.col("t")).alias("content"))
-    return chunked.train_chunks(chunks, _CONFIG).model.merge_table(spark)
+    """A vocabulary for each chunk, combined by support."""
+    return _chunk_merges(spark, d, "support")
+
+
+def chunk_train_frequency(spark: SparkSession, d: str) -> DataFrame:
+    return _chunk_merges(spark, d, "frequency")
+
+
+def chunk_train_entropy(spark: SparkSession, d: str) -> DataFrame:
+    return _chunk_merges(spark, d, "entropy")
+
+
+def chunk_train_first(spark: SparkSession, d: str) -> DataFrame:
+    return _chunk_merges(spark, d, "first")
+
+
+def chunk_train_report(spark: SparkSession, d: str) -> DataFrame:
+    """Counters of a run that skips chunks of low and of high entropy, for both ways to treat repeats."""
+    rows = []
+    for how in chunked.DUPLICATES:
+        r = chunked.train_chunks(_doc_chunks(spark, d), _CHUNKED.with_(vocab_size=316), "frequency", how, low=4.1, high=4.3).report
+        rows.append((how, *(r[k] for k in ("processed_chunks", "total_chunks", "unique_chunks", "skipped_low_entropy", "skipped_high_entropy", "duplicates_skipped", "duplicates_reused"))))
+    return spark.createDataFrame(rows, "duplicates string, processed long, total long, uniques long, low long, high long, skipped long, reused long")
 
 
 def encode_documents(spark: SparkSession, d: str) -> DataFrame:
     docs = _documents(spark, d)
     model = train.train(docs, _CONFIG.with_(vocab_size=376))
-    return codec.encode(docs, model).select("doc_id", F.size("tokens").alias("n_tokens"), F.xxhash64("tokens").alias("digest"))
+    return codec.encode(docs, model).select("doc_id", F.size("tokens").alias("n_tokens"), _digest().alias("digest"))
+
+
+def encode_by_heap(spark: SparkSession, d: str) -> DataFrame:
+    """Encoding as it is done with more merges than are folded into one expression."""
+    docs = _documents(spark, d)
+    model = train.train(docs, _CONFIG)
+    out = docs.withColumn("tokens", codec.heaped(F.col("content"), model))
+    return out.select("doc_id", F.size("tokens").alias("n_tokens"), _digest().alias("digest"))
 
 
 def decode_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     docs = _documents(spark, d)
     model = train.train(docs, _CONFIG.with_(vocab_size=376))
     out = codec.decode(codec.encode(docs, model), model, out="decoded")
-    return out.select("doc_id", (F.col("decoded") == F.col("content")).alias("same"))
+    return out.select("doc_id", F.md5("decoded").alias("digest"))
+
+
+def decode_without_specials(spark: SparkSession, d: str) -> DataFrame:
+    """Special literals around the texts become ids that decoding skips; the vocabulary is a large one."""
+    docs = _documents(spark, d).withColumn("content", F.concat(F.lit(b"<|start|>"), F.col("content"), F.lit(b"<|end|>")))
+    plain = kernel.Trained(kernel.Decider(_CONFIG.with_(vocab_size=3000)).out.tokens)
+    model = train.finished(plain, _CONFIG.with_(vocab_size=3000))
+    out = codec.decode(codec.encode(docs, model), model, out="decoded", skip_special=True)
+    return out.select("doc_id", F.size("tokens").alias("n_tokens"), F.md5("decoded").alias("digest"))
+
+
+def sample_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of the first 101 bytes, read as Latin-1 where they end within a character, with and without merges."""
+    docs = _documents(spark, d)
+    model = train.train(docs, _CONFIG.with_(vocab_size=376))
+    return codec.compared(docs, {"merged": model, "plain": model.derived(312)}, first_bytes=101).select("doc_id", "merged", "plain")
+
+
+def legacy_strings(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes as legacy files write them, with two of them moved; and what strings of other characters decode to."""
+    text = fb.encode_bytes(F.col("content"), fb.LEGACY)
+    back = fb.decode_string(text, fb.LEGACY) == F.col("content")
+    wrong = fb.try_decode_string(F.concat(text, F.lit("\u4e2d")), fb.LEGACY)
+    return _documents(spark, d).select("doc_id", F.md5(F.encode(text, "UTF-8")).alias("digest"), back.alias("same"), wrong.isNull().alias("refused"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     all_ = (
-        segment_ascii_counts, segment_unicode_counts, segment_null_counts, segment_glued_counts, byte_histogram, byte_pair_counts, top_pairs, merge_step, doc_entropy,
-        entropy_filtered_docs, fixed_chunks, chunk_dedup, chunk_weights, json_field_extract, combine_frequency, combine_support, combine_entropy, vocab_stats, token_predicates,
-        gpt2_strings, corpus_union, frequent_words, train_merges, train_vocabulary, train_merges_spark, chunk_train, encode_documents, decode_roundtrip,
+        segment_ascii_counts, segment_unicode_counts, segment_null_counts, segment_none_counts, segment_glued_counts, segment_null_glued_counts, segments_listed,
+        byte_histogram, byte_pair_counts, top_pairs, merge_step, doc_entropy, entropy_filtered_docs, fixed_chunks, chunk_dedup, chunk_weights, json_field_extract,
+        json_text_field, token_list_sums, combine_frequency, combine_support, combine_entropy, vocab_stats, token_predicates, gpt2_strings, legacy_strings, corpus_union,
+        frequent_words, train_merges, train_vocabulary, train_padded_vocabulary, train_whole_sequences, train_merges_spark, train_plateau, derived_merges, saved_and_loaded,
+        model_info, models_compared, chunk_train, chunk_train_frequency, chunk_train_entropy, chunk_train_first, chunk_train_report, encode_documents, encode_by_heap,
+        decode_roundtrip, decode_without_specials, sample_token_counts,
     )
     return {f.__name__: f for f in all_}
 
@@ -233,14 +399,36 @@ group by all having sum(weight) >= {LEAST}
 """
 
 
-def _combined_sql(weights: str | None, having: str = "") -> str:
+def _combined_sql(order: str, weights: str | None = None, having: str = "") -> str:
     join = f"left join ({weights}) w on w.index = o.index" if weights else ""
     weight = "w.weight" if weights else "1.0"
-    return f'select l as "left", r as "right", sum(n)::bigint as total, count(*) as support, round(sum(n * {weight})::double, 4) as weighted from ({_OFFERS}) o {join} group by l, r {having}'
+    return f"""
+    select row_number() over (order by {order}, length(l) + length(r), l, r) as place, l as "left", r as "right", total, support, round(weighted, 4) as weighted from (
+      select l, r, sum(n)::bigint as total, count(*) as support, sum(n * {weight})::double as weighted from ({_OFFERS}) o {join} group by l, r {having})
+    """
+
+
+def _numbered(white: str) -> str:
+    return f"select doc_id, i, len(ws) as n, ws[i] as w from (select doc_id, ws, unnest(range(1, len(ws) + 1)) as i from (select doc_id, regexp_extract_all({_T}, '[{white}]+|[^{white}]+') as ws from documents))"
+
+
+def _glued_sql(white: str, alone: str | None) -> str:
+    """Counts of glued segments: a run of white space that doesn't stand alone glues its neighbours; or each edge draws."""
+    draw = "('0x' || substr(md5('7:' || doc_id || ':' || (i - 1)), 1, 10))::bigint / 1099511627776.0 < 0.5"
+    if alone is None:
+        begins = "i = 1 or cut"
+        word = f"array_to_string(list_transform({_BYTES.format('w')}, lambda x: case when x = '0A' then '00' else x end), '')"
+    else:
+        begins = "coalesce(alone or lag(alone) over (partition by doc_id order by i), true)"
+        word = "hex(encode(w))"
+    rows = f"select *, {draw} as cut, regexp_matches(w, '^[{white}]') as delim from ({_numbered(white)})"
+    rows = f"select *, delim and ({alone or 'true'}) as alone from ({rows})"
+    parts = f"select doc_id, i, w, sum(begins::int) over (partition by doc_id order by i) as part from (select *, {begins} as begins from ({rows}))"
+    return f"select {word} as word, count(*) as weight from (select string_agg(w, '' order by i) as w from ({parts}) group by doc_id, part) group by w"
 
 
-def _flag(pattern: str) -> str:
-    return f"regexp_matches(t, '{pattern}')"
+def _flag(pattern: str, of: str = "t") -> str:
+    return f"regexp_matches({of}, '{pattern}')"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -269,6 +457,7 @@ def oracle_sql() -> dict[str, str]:
           select d.source, coalesce(e.entropy, 0.0) as entropy, coalesce(e.n_bytes, 0) as n_bytes from documents d left join ({_ENTROPY}) e using (doc_id)) group by source))
     """
     alphabet = fb.gpt2_alphabet().replace("'", "''")
+    legacy = fb.alphabet(fb.LEGACY).replace("'", "''")
     return {
         "segment_ascii_counts": count.format(_split(_WS), "documents"),
         "segment_unicode_counts": count.format(_split(_UWS), "documents"),
@@ -286,9 +475,9 @@ def oracle_sql() -> dict[str, str]:
         "chunk_dedup": f"select doc_id * {1 << 20} + i as index, min(doc_id * {1 << 20} + i) over (partition by c) as first_index from ({_CHUNKS})",
         "chunk_weights": f"select doc_id, round(raw / sum(raw) over (), 9) as weight from (select doc_id, {_WEIGHTS} as raw from (select doc_id, entropy, n_bytes as byte_len from ({_ENTROPY})))",
         "json_field_extract": "select event_id, json_extract_string(props, '$.k') as k from events",
-        "combine_frequency": _combined_sql(None),
-        "combine_support": _combined_sql(None),
-        "combine_entropy": _combined_sql(source_weights, "having count(*) >= 2"),
+        "combine_frequency": _combined_sql("total desc, support desc"),
+        "combine_support": _combined_sql("support desc, total desc"),
+        "combine_entropy": _combined_sql("round(weighted, 6) desc, support desc, total desc", source_weights, "having count(*) >= 2"),
         "vocab_stats": f"""
             select count(*) as token_count, round(avg(n), 9) as avg_len, round(median(n)::double, 9) as median_len, round(quantile_cont(n, 0.95)::double, 9) as p95_len, max(n)::int as max_len,
               round({rate.format("n >= 16")}, 9) as share_len_ge16, round({rate.format("n >= 32")}, 9) as share_len_ge32, round({rate.format("n = 1")}, 9) as share_len_eq1,
@@ -302,4 +491,28 @@ def oracle_sql() -> dict[str, str]:
         "gpt2_strings": f"select doc_id, md5(array_to_string(list_transform({_BYTES.format(_T)}, lambda x: substr('{alphabet}', ('0x' || x)::int + 1, 1)), '')) as digest, true as same from documents",
         "corpus_union": count.format(_split(_WS), "(select text from documents union all select text from benchmark)"),
         "frequent_words": count.format(_split(_WS), "documents") + " having count(*) >= 4",
+        "segment_none_counts": f"select md5(t) as digest, octet_length(encode(t))::int as n_bytes, count(*) as weight from (select {_T} as t from documents) where t <> '' group by t",
+        "segments_listed": f"select doc_id, (i - 1)::int as pos, hex(encode(w)) as seg, {_flag(rf'^[{_WS}]', 'w')} as is_delim from ({_numbered(_WS)})",
+        "segment_glued_counts": _glued_sql(_WS, "i in (1, n) or cut"),
+        "segment_null_glued_counts": _glued_sql(chr(92) + "n", None),
+        "json_text_field": "select doc_id, md5(text) as digest from documents where text is not null",
+        "token_list_sums": "select doc_id, 2 as n, doc_id + coalesce(n_chars, 0) as total from documents",
+        "legacy_strings": f"select doc_id, md5(array_to_string(list_transform({_BYTES.format(_T)}, lambda x: substr('{legacy}', ('0x' || x)::int + 1, 1)), '')) as digest, true as same, true as refused from documents",
+        "train_merges": sql.merges(_CONFIG, _SEGMENTS),
+        "train_merges_spark": sql.merges(_CONFIG, _SEGMENTS),
+        "train_whole_sequences": sql.merges(_RULES, f"select {_T} as w, count(*) as weight from documents group by text"),
+        "train_plateau": sql.plateau(_CONFIG, _SEGMENTS, 3, 5),
+        "train_vocabulary": sql.vocabulary(_CONFIG, _SEGMENTS),
+        "train_padded_vocabulary": sql.vocabulary(_CONFIG.with_(vocab_size=340), _SEGMENTS, 10),
+        "derived_merges": sql.merges(_CONFIG.with_(vocab_size=350), _SEGMENTS, metrics=False),
+        "saved_and_loaded": f"select id, bytes, 'ascii' as mode from ({sql.vocabulary(_CONFIG.with_(vocab_size=340), _SEGMENTS)})",
+        "model_info": "select 333::int as base, 7::int as special, 340::int as total, 28::int as merges, 49::int as glyphs, 0::int as mismatches",
+        "models_compared": sql.overlap(_CONFIG.with_(vocab_size=344), _SEGMENTS, _SEGMENTS.replace("from documents", "from benchmark"), 16),
+        "encode_documents": sql.encoded(_CONFIG.with_(vocab_size=376), _SEGMENTS, _T),
+        "encode_by_heap": sql.encoded(_CONFIG, _SEGMENTS, _T),
+        "decode_roundtrip": f"select doc_id, md5({_T}) as digest from documents",
+        "decode_without_specials": f"select doc_id, (octet_length(encode({_T})) + 2)::int as n_tokens, md5({_T}) as digest from documents",
+        "sample_token_counts": sql.sampled(_CONFIG.with_(vocab_size=376), _SEGMENTS, _T, 101),
+        **{f"chunk_train{'_' * (mode != 'support')}{mode * (mode != 'support')}": sql.chunks(_CHUNKED, mode) for mode in chunked.MODES},
+        "chunk_train_report": sql.chunk_report(4.1, 4.3),
     }

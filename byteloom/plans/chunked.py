@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -64,24 +64,30 @@ def combined_merges(merges: DataFrame, weights: DataFrame | None = None) -> Data
 
 
 def ordered(combined: DataFrame, mode: str, chunks: int) -> DataFrame:
-    """The combined merges in the order in which a mode takes them; ties go by the bytes."""
+    """The combined merges in the order in which a mode takes them; ties go by the bytes.
+
+    Weighted counts are compared to six decimals: what lies beyond depends on the order in which they were added up.
+    """
     length = F.octet_length("left") + F.octet_length("right")
-    total, support, weighted = F.desc("total"), F.desc("support"), F.desc("weighted")
+    total, support, weighted = F.desc("total"), F.desc("support"), F.round("weighted", 6).desc()
     if mode == "entropy":
         combined = combined.where(F.col("support") >= (2 if chunks > 1 else 1))
     by = {"frequency": (total, support), "support": (support, total), "entropy": (weighted, support, total)}[mode]
     return combined.orderBy(*by, length, "left", "right")
 
 
-def assembled(candidates: list[tuple[bytes, bytes]], config: TrainerConfig) -> tuple[Model, dict]:
-    """A model of the candidates in order; one whose sides aren't known yet waits for the next pass."""
+def assembled(candidates: Iterable[tuple[bytes, bytes]], config: TrainerConfig) -> tuple[Model, dict]:
+    """A model of the candidates in order; one whose sides aren't known yet waits for the next pass.
+
+    No more candidates are drawn than it takes to fill the vocabulary, and only those that wait are held.
+    """
     budget = config.merge_budget
     tokens = layout.base_tokens(config.trailing)
     ids = {t: i for i, t in enumerate(tokens)}
     merges: list[tuple[int, int]] = []
     duplicates, waiting = 0, candidates
     missing = 0
-    while waiting and len(merges) < budget:
+    while len(merges) < budget:
         later, grown = [], False
         for left, right in waiting:
             if len(merges) >= budget:
@@ -96,7 +102,7 @@ def assembled(candidates: list[tuple[bytes, bytes]], config: TrainerConfig) -> t
                 tokens.append(left + right)
                 grown = True
         waiting = later
-        if not grown:
+        if not waiting or not grown:
             missing = len(waiting)
             break
     done = {"merges_requested": budget, "merges_realized": len(merges), "duplicates_skipped": duplicates, "missing_dependencies": missing}
@@ -154,8 +160,7 @@ def train_chunks(
     else:
         merges = samples.select("index", F.explode("merges").alias("m")).select("index", "m.left", "m.right", "m.best_frequency")
         take = ordered(combined_merges(merges, weights if mode == "entropy" else None), mode, n)
-        # The driver needs candidates in order; they are no more than chunks times the budget, and end with the budget met.
-        model, done = assembled([(bytes(r["left"]), bytes(r["right"])) for r in take.select("left", "right").toLocalIterator()], config)
+        model, done = assembled(((bytes(r["left"]), bytes(r["right"])) for r in take.select("left", "right").toLocalIterator()), config)
     summary = samples.select("index", "byte_len", F.col("entropy").alias("entropy_bits"), "vocab_size", F.size("merges").alias("merge_count"), "merges")
     report = {
         "combine_mode": mode,

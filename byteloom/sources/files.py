@@ -35,7 +35,7 @@ def list_paths(inputs: Iterable[str], config: Ingest = Ingest()) -> list[str]:
             out += [start + f.path for f in found if f.is_file]
         elif os.path.islink(item) and not config.follow_symlinks:
             raise ValueError(f"{item} is a symbolic link; set follow_symlinks to read it")
-        if os.path.isfile(item):
+        elif os.path.isfile(item):
             out.append(item)
         elif os.path.isdir(item):
             for folder, folders, files in os.walk(item, followlinks=config.follow_symlinks):

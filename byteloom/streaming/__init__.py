@@ -1,5 +1,5 @@
-"""Structured Streaming front-end: word counts of a stream, kept for batch training."""
+"""Streams of sequences."""
 
-from byteloom.streaming.words import stream_word_counts
+from byteloom.streaming.words import stream_word_counts, word_counts
 
-__all__ = ["stream_word_counts"]
+__all__ = ["stream_word_counts", "word_counts"]

@@ -83,6 +83,25 @@ def test_chunks_and_totals(spark, tmp_path):
             sources.list_paths(bad)
 
 
+def test_files_in_ranges_and_uris(spark, tmp_path):
+    data = bytes(range(256)) * 40
+    (tmp_path / "a").write_bytes(data)
+    (tmp_path / "b").write_bytes(b"xy")
+    for size, step in ((100, 350), (100, 1), (4096, 1 << 20)):
+        for inputs in ([str(tmp_path)], [f"file://{tmp_path}"], [f"file://{tmp_path}/a", f"file://{tmp_path}/b"]):
+            rows = sources.binary_files(spark, inputs, Ingest(size), range_bytes=step).orderBy("source", "chunk_index").collect()
+            assert b"".join(bytes(r.content) for r in rows) == data + b"xy"
+            assert [r.chunk_index for r in rows] == [*range(-(-len(data) // size)), 0] and all(len(r.content) <= size for r in rows)
+    with pytest.raises(FileNotFoundError):
+        sources.list_paths([f"file://{tmp_path}/none"])
+
+
+def test_export(spark, tmp_path):
+    df = spark.createDataFrame([(2, "b\nc"), (1, "a"), (3, None)], "i int, text string")
+    sources.export_texts(df, str(tmp_path / "out"), order="i")
+    assert "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*"))) == "a\n\nb\nc\n\n"
+
+
 def test_jsonl(spark, tmp_path):
     path = str(tmp_path / "x.jsonl.gz")
     with gzip.open(path, "wt") as f:

@@ -5,9 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from byteloom import cli, layout, sources
+from byteloom import layout, sources
 from byteloom.config import Segmentation, TrainerConfig
-from byteloom.model import info, load, merge_overlap, token_lengths, vocab_stats
+from byteloom.model import Model, info, load, merge_overlap, token_lengths, vocab_stats
 from byteloom.operators import codec, kernel, segment
 from byteloom.plans import catalog, chunked, train
 
@@ -210,20 +210,50 @@ def test_assembly_waits_for_parts():
 
 
 def test_stream_counts_words(spark, tmp_path):
-    from byteloom.streaming import stream_word_counts
+    from byteloom.streaming import stream_word_counts, word_counts
 
-    folder = str(tmp_path / "in")
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
     sources.in_memory(spark, [b"a b a", b"b\n"]).write.parquet(folder)
-    query = stream_word_counts(spark.readStream.schema("content binary").parquet(folder), Segmentation("ascii"), "counted", str(tmp_path / "c"))
+    query = stream_word_counts(spark.readStream.schema("content binary").parquet(folder), Segmentation("ascii"), out, str(tmp_path / "c"))
     query.processAllAvailable()
     sources.in_memory(spark, [b"a"]).write.mode("append").parquet(folder)
     query.processAllAvailable()
     query.stop()
-    assert {r.word: r.weight for r in spark.table("counted").collect()} == {"a": 3, "b": 2, " ": 2, "\n": 1}
-    model = train.train_on_words(spark.table("counted"), toy())
+    counted = word_counts(spark, out)
+    assert {r.word: r.weight for r in counted.collect()} == {"a": 3, "b": 2, " ": 2, "\n": 1}
+    model = train.train_on_words(counted, toy())
     assert model.size == 270
 
 
+def test_metrics_of_both_engines(spark):
+    words = spark.createDataFrame([("the", 9), ("then", 5), ("hen", 4), ("aaaa", 3)], "word string, weight long")
+    for engine in ("memory", "spark"):
+        model = train.train_on_words(words, TrainerConfig(vocab_size=270, min_frequency=2, reasoning=False), engine)
+        m = model.metrics
+        assert [x["iteration"] for x in m] == list(range(1, len(m) + 1)) and all(x["distinct_pairs"] > 0 for x in m[:-1])
+        total = [x["elapsed_total"] for x in m]
+        assert total == sorted(total) and abs(sum(x["elapsed_iteration"] for x in m) - total[-1]) < 1e-6
+        assert model.seconds >= total[-1] and all(x["rss_kb"] > 0 for x in m)
+
+
+def test_token_counts_of_several_models(spark, trained):
+    text, model = trained
+    rows = [b"the th", bytes([0xE9, 0x20, 0x80]), "é ü".encode(), b""]
+    df = spark.createDataFrame([(i, bytearray(r)) for i, r in enumerate(rows)], "i int, content binary")
+    out = {r.i: r for r in codec.compared(df, {"a": model, "b": model.derived(model.config.base_size)}).collect()}
+    f = codec.encoder(model)
+    assert out[0].a == len(f(rows[0])) and out[0].b == 6 and out[3].a == 0
+    assert out[1].b == 5  # no UTF-8, so read as Latin-1: two characters of two bytes and a space
+    assert out[2].b == 5
+    assert [r.n_tokens for r in codec.token_counts(df, model.derived(model.config.base_size), first_bytes=1).orderBy("i").collect()] == [1, 2, 2, 0]
+
+
+def test_tokens_over_edges_of_white_space_are_encoded_whole():
+    config = TrainerConfig(vocab_size=265, reasoning=False)
+    model = Model([*kernel.Decider(config).out.tokens, b" b", b"a b"], [(7 + 32, 7 + 98), (7 + 97, 263)], config)
+    assert codec.encoder(model)(b"a b") == [264]
+
+
 def test_query_of_the_spark_loop_gives_all_merges_of_train_merges(spark, tmp_path):
     rng = random.Random(6)
     rows = [(i, " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 5))) for _ in range(60)), "s") for i in range(60)]
