@@ -3,9 +3,10 @@
 Vectors are compared by their cosine. Each is described by the ordered list of the ``NEAREST`` pivots - reference
 vectors drawn from the table - that it is closest to. Inverted lists are kept for pairs of pivots: two vectors that share
 at least two pivots meet in a list. For those that meet the pivots shared are counted; only those that share ``MIN_SHARED``
-or more with another one of their list stay in it, and their vectors are fetched to it and verified by their exact cosine. So
-lists are shuffled as numbers and permutations, and vectors go to the few lists in which they may have a partner. A pair
-counts in the list of the two lowest pivots that it shares, so links are counted without listing the pairs of a group.
+or more with another one of their list, whose sketch - the signs of 64 random projections - is as near as near vectors' are,
+stay in it, and their vectors are fetched to it and verified by their exact cosine. So lists are shuffled as numbers and
+permutations, and vectors go to the few lists in which they have a likely partner. A pair counts in the list of the two
+lowest pivots that it shares, so links are counted without listing the pairs of a group.
 
 A list of more than ``CAP`` vectors is divided by a third pivot, which loses no vectors that share three; one that is still
 larger is compared in full, by blocks (``buckets``). The pairs that join components of a list make up the groups (connected
@@ -24,6 +25,7 @@ empty table has no rows. Further columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -39,6 +41,8 @@ SIMILARITY = 0.95
 NEAREST, MIN_SHARED = 7, 3
 MIN_PIVOTS, MAX_PIVOTS, ROWS_PER_PIVOT = 32, 1024, 128
 CAP = 20_000
+#: Signs of random projections in a sketch.
+SKETCH = 64
 #: The key of a list of pivots p < q is p << 16 | q, that of p < q < r is (1 << 32 | p << 16 | q) << 16 | r.
 _THIRD = 1 << 48
 
@@ -70,9 +74,16 @@ def _matrix(column: pa.Array, kind: type = np.float32) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
+def sketch_limit(similarity: float) -> int:
+    """The most bits by which the sketches of near vectors differ, but for one pair in some ten thousand."""
+    p = math.acos(min(1.0, max(-1.0, similarity))) / math.pi
+    return min(SKETCH, math.ceil(SKETCH * p + 4 * math.sqrt(SKETCH * p * (1 - p))))
+
+
 def lists(reps: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """key, k, pivots: each row of reps (k, vec) in the inverted list of every pair of its nearest pivots."""
+    """key, k, pivots, sketch: each row of reps (k, vec) in the inverted list of every pair of its nearest pivots."""
     nearest = min(NEAREST, len(pivots))
+    planes = np.random.default_rng(0x51).normal(size=(pivots.shape[1], SKETCH)).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -81,11 +92,12 @@ def lists(reps: DataFrame, pivots: np.ndarray) -> DataFrame:
             v = _matrix(b.column(1))
             order = np.argsort(-(v @ pivots.T), axis=1, kind="stable")[:, :nearest].astype(np.int16)
             described = pa.array([x.tobytes() for x in order], pa.binary())
+            sketch = pa.array(np.packbits(v @ planes > 0, axis=1).view(np.int64)[:, 0])
             by = np.sort(order, axis=1).astype(np.int64)
             for i, j in combinations(range(nearest), 2):
-                yield pa.RecordBatch.from_arrays([pa.array(by[:, i] << 16 | by[:, j]), b.column(0), described], ["key", "k", "pivots"])
+                yield pa.RecordBatch.from_arrays([pa.array(by[:, i] << 16 | by[:, j]), b.column(0), described, sketch], ["key", "k", "pivots", "sketch"])
 
-    return reps.select("k", "vec").mapInArrow(run, "key long, k long, pivots binary")
+    return reps.select("k", "vec").mapInArrow(run, "key long, k long, pivots binary, sketch long")
 
 
 def divided(rows: DataFrame, cap: int) -> DataFrame:
@@ -104,10 +116,10 @@ def divided(rows: DataFrame, cap: int) -> DataFrame:
                 third = own[:, i].astype(np.int64)
                 # A pair counts where its lowest pivots are, so a lower third one isn't wanted.
                 above = third > key & 0xFFFF
-                yield pa.RecordBatch.from_arrays([pa.array(_THIRD | key << 16 | third), b.column(1), b.column(2)], ["key", "k", "pivots"]).filter(pa.array(above))
+                yield pa.RecordBatch.from_arrays([pa.array(_THIRD | key << 16 | third), b.column(1), b.column(2), b.column(3)], ["key", "k", "pivots", "sketch"]).filter(pa.array(above))
 
-    third = rows.join(big, "key", "left_semi").select("key", "k", "pivots").mapInArrow(run, "key long, k long, pivots binary")
-    return rows.join(big, "key", "left_anti").select("key", "k", "pivots").union(third)
+    third = rows.join(big, "key", "left_semi").select("key", "k", "pivots", "sketch").mapInArrow(run, "key long, k long, pivots binary, sketch long")
+    return rows.join(big, "key", "left_anti").select("key", "k", "pivots", "sketch").union(third)
 
 
 class _Shared:
@@ -121,31 +133,44 @@ class _Shared:
         self.top = (key & 0xFFFF).astype(np.int16)
         self.n = np.where(third, 3, 2).astype(np.int8)
 
-    def __call__(self, a: np.ndarray | slice, b: np.ndarray | slice, across: bool = False) -> np.ndarray:
-        n = low = None
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        n, low = np.zeros(len(a), np.int8), np.zeros(len(a), np.int8)
+        right, top = [y[b] for y in self.columns], self.top[a]
         for x in self.columns:
-            left = x[a][:, None] if across else x[a]
-            hit = left == self.columns[0][b]
-            for y in self.columns[1:]:
-                hit |= left == y[b]
-            top = self.top[a][:, None] if across else self.top[a]
-            n = hit.astype(np.int8) if n is None else n + hit
-            below = hit & (left <= top)
-            low = below.astype(np.int8) if low is None else low + below
-        return (n >= self.least) & (low == (self.n[a][:, None] if across else self.n[a]))
+            left = x[a]
+            hit = left == right[0]
+            for y in right[1:]:
+                hit |= left == y
+            n += hit
+            low += hit & (left <= top)
+        return (n >= self.least) & (low == self.n[a])
 
 
-def candidates(rows: DataFrame, least: int) -> DataFrame:
-    """The rows of the lists (key, block, side, k, pivots) that share enough pivots with another one there."""
+def candidates(rows: DataFrame, least: int, similarity: float) -> DataFrame:
+    """The rows of the lists (key, block, side, k, pivots) that have a likely partner there."""
+    limit = sketch_limit(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in buckets.whole(batches):
             key, block, side = (np.asarray(part.column(i)) for i in range(3))
-            shared = _Shared(key, _matrix(part.column(4), np.int16), least)
+            shared, sketch = _Shared(key, _matrix(part.column(4), np.int16), least), np.asarray(part.column(5)).view(np.uint64)
+
+            def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                out = np.bitwise_count(sketch[a] ^ sketch[b]) <= limit
+                at = np.flatnonzero(out)
+                out[at] = shared(a[at], b[at])
+                return out
+
+            def block_near(s: int, t: int, end: int) -> np.ndarray:
+                out = np.bitwise_count(sketch[s:t, None] ^ sketch[s:end]) <= limit
+                a, b = np.nonzero(out)
+                out[a, b] = shared(a + s, b + s)
+                return out
+
             stays = np.zeros(len(key), bool)
-            for a, b in buckets.pairs_of(key, block, side, shared, lambda s, t, end: shared(slice(s, t), slice(s, end), True)):
+            for a, b in buckets.pairs_of(key, block, side, near, block_near):
                 stays[a] = stays[b] = True
-            yield part.filter(pa.array(stays))
+            yield part.filter(pa.array(stays)).select(["key", "block", "side", "k", "pivots"])
 
     return buckets.gathered(rows).mapInArrow(run, "key long, block long, side long, k long, pivots binary")
 
@@ -187,7 +212,7 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vec_col: str = "em
         return rows.select("vec_id", F.col("vec_id").alias("class_id"), F.lit(0).cast("long").alias("links"))
     pivots = np.frombuffer(b"".join(bytes(x) for x in chosen), np.float32).reshape(len(chosen), -1)
     least = min(MIN_SHARED, len(pivots))
-    found = candidates(buckets.capped(divided(lists(reps, pivots), cap), cap), least)
+    found = candidates(buckets.capped(divided(lists(reps, pivots), cap), cap), least, similarity)
     found = found.join(reps.select("k", "vec"), "k").select("key", "block", "side", "k", "pivots", "vec")
     known = buckets.classes(reps, linked(found, least, similarity)).select("vec", "kept", "links")
     out = rows.join(known, "vec", "left").withColumn("kept", F.coalesce("kept", F.struct("vec_id", "k")))
