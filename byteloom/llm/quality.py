@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from byteloom.llm import common, wordhash
 
 #: Rows of the sample on which costs and selectivities are estimated, and partitions that they come from, at most.
-SAMPLE_ROWS, SAMPLE_PARTITIONS = 1000, 64
+SAMPLE_ROWS, SAMPLE_PARTITIONS = 1000, 16
 #: Words of a text up to which a share of them has to be distinct.
 SHARE_WORDS = 10_000
 LETTER, NUMBER, UPPER, SPACE, ODD = 1, 2, 4, 8, 16
@@ -179,8 +179,10 @@ def accepted_sql(rules: tuple[Rule, ...] = RULES) -> str:
 
 
 def sample(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS, partitions: int = SAMPLE_PARTITIONS) -> list[str]:
-    """About so many texts: the first ones of partitions that are spread evenly over docs. No other partition is read."""
-    rdd = docs.select(docs[text_col].alias("t")).where("length(t) > 0").rdd
+    """About so many texts, from the first rows of partitions that are spread evenly over docs. No other partition is read."""
+    # The low 33 bits of the number count the rows of a partition; later rows aren't sent to Python.
+    heads = docs.select(docs[text_col].alias("t"), (F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).alias("i"))
+    rdd = heads.where((F.col("i") < rows) & (F.length("t") > 0)).select("t").rdd
     total = rdd.getNumPartitions()
     chosen = sorted({i * total // partitions for i in range(partitions)}) if total > partitions else list(range(total))
     if not chosen:

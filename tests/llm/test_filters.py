@@ -164,7 +164,7 @@ def test_long_texts_on_both_sides_of_the_rule_on_distinct_words():
 
 def test_the_sample_is_spread_over_the_table(spark):
     docs = table(spark, [(i, f"text {i}") for i in range(800)]).repartitionByRange(16, "doc_id")
-    found = [int(t.split()[1]) for t in quality.sample(docs, rows=64)]
+    found = [int(t.split()[1]) for t in quality.sample(docs, rows=64, partitions=64)]
     assert len(found) == 64 and {i // 100 for i in found} == set(range(8))
     some = [int(t.split()[1]) for t in quality.sample(docs, rows=8, partitions=4)]
     assert len(some) == 8 and len({i // 200 for i in some}) == 4
