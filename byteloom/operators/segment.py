@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,12 +66,59 @@ def segments(df: DataFrame, config: Segmentation, content: str = "content", sequ
     return out.select("seq", "pos", from_latin1(F.col("text")).alias("seg"), "is_delim")
 
 
+def _white(data: np.ndarray, mode: str) -> np.ndarray:
+    """Which bytes belong to delimiters."""
+    if mode == "null":
+        return data == 0
+    out = (data == 32) | ((data >= 9) & (data <= 13))
+    if mode == "unicode" and len(data) > 1:
+        # White space of two and three bytes, as in _UNICODE.
+        x = np.concatenate([data, np.zeros(2, np.uint8)])
+        a, b, c = x[:-2], x[1:-1], x[2:]
+        two = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+        three = (a == 0xE1) & (b == 0x9A) & (c == 0x80)
+        three |= (a == 0xE2) & (b == 0x80) & (((c >= 0x80) & (c <= 0x8A)) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
+        three |= ((a == 0xE2) & (b == 0x81) & (c == 0x9F)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))
+        for hit, n in ((two, 2), (three, 3)):
+            at = np.flatnonzero(hit)
+            for k in range(n):
+                out[at[at + k < len(out)] + k] = True
+    return out
+
+
+def _run_counts(column: pa.Array, mode: str) -> tuple[pa.Array, pa.Array]:
+    """The different runs of the values of a binary column, and how often each occurs."""
+    column = column.cast(pa.large_binary()).drop_null()
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets - offsets[0]] = True
+    if mode != "none" and len(data):
+        # A byte that no white space has parts the values, so that two of them make none together.
+        inside = np.ones(len(data) + len(column), bool)
+        inside[offsets[1:] - offsets[0] + np.arange(len(column))] = False
+        apart = np.full(len(inside), 0xFF, np.uint8)
+        apart[inside] = data
+        white = _white(apart, mode)[inside]
+        edge[1:-1] |= white[1:] != white[:-1]
+    bounds = np.flatnonzero(edge).astype(np.int64)
+    runs_ = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
+    found = runs_.value_counts()
+    return found.field("values").cast(pa.binary()), found.field("counts")
+
+
 def words(df: DataFrame, config: Segmentation, content: str = "content", sequence: str | None = None) -> DataFrame:
     """word (Latin-1 string), weight: the distinct segments and how often each occurs. Empty sequences have none."""
     mode = config.mode if config.enabled else "none"
-    if mode == "none" or config.probability >= 1:
-        # No sequence id is needed, so the runs are counted as they come.
-        found = df.select(F.explode(runs(F.col(content), mode)).alias("word"))
-    else:
+    if mode != "none" and config.probability < 1:
         found = segments(df, config, content, sequence).select(latin1(F.col("seg")).alias("word"))
-    return found.groupBy("word").agg(F.count("*").alias("weight"))
+        return found.groupBy("word").agg(F.count("*").alias("weight"))
+
+    # No sequence id is needed, so the runs are counted as they come, first within each batch.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays(list(_run_counts(b.column(0), mode)), ["word", "weight"])
+
+    counted = df.select(content).where(F.octet_length(content) > 0).mapInArrow(run, "word binary, weight long")
+    return counted.groupBy("word").agg(F.sum("weight").alias("weight")).select(latin1(F.col("word")).alias("word"), "weight")

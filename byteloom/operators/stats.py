@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from byteloom.functions.bytes import latin1
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column, and where each value begins and the last one ends; null is empty."""
+    column = column.cast(pa.large_binary()).fill_null(b"")
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
 
 def byte_rows(df: DataFrame, key: str, content: str = "content") -> DataFrame:
     """key, byte (hex), n: the histogram of the bytes of each key."""
@@ -14,19 +24,36 @@ def byte_rows(df: DataFrame, key: str, content: str = "content") -> DataFrame:
 
 
 def byte_histogram(df: DataFrame, content: str = "content") -> DataFrame:
-    """byte (hex), n over all sequences."""
-    bytes_ = F.filter(F.split(F.hex(F.col(content)), "(?<=\\G..)"), lambda x: x != "")
-    return df.select(F.explode(bytes_).alias("byte")).groupBy("byte").agg(F.count("*").alias("n"))
+    """byte (hex), n over all sequences, added up a batch at a time before they are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = np.bincount(_bytes(b.column(0))[0], minlength=256)
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([f"{x:02X}" for x in at], pa.string()), pa.array(n[at].astype(np.int64))], ["byte", "n"])
+
+    return df.select(content).mapInArrow(run, "byte string, n long").groupBy("byte").agg(F.sum("n").alias("n"))
+
+
+def _entropies(column: pa.Array) -> pa.Array:
+    data, at = _bytes(column)
+    size = np.diff(at)
+    out = np.zeros(len(size))
+    # Cells of the histograms of 4,096 values at a time.
+    for a in range(0, len(size), 4096):
+        b = min(a + 4096, len(size))
+        row = np.repeat(np.arange(b - a), size[a:b])
+        cells = np.bincount(row << 8 | data[at[a] : at[b]], minlength=(b - a) << 8).reshape(b - a, 256)
+        n = size[a:b].astype(np.float64)
+        total = (cells * np.log2(np.maximum(cells, 1))).sum(axis=1)
+        some = n > 0
+        out[a:b][some] = np.maximum(0.0, np.log2(n[some]) - total[some] / n[some])
+    return pa.array(out)
 
 
 def entropy_of(content: Column) -> Column:
-    """Bits a byte of one value, by counting each byte's runs in its sorted hex; 0 for no bytes. No shuffle."""
-    n = F.octet_length(content).cast("double")
-    ordered = F.array_join(F.sort_array(F.split(latin1(content), "")), "")
-    # Runs of equal characters in the sorted text are the cells of the histogram.
-    cells = F.transform(F.regexp_extract_all(ordered, F.lit(r"(?s)((.)\2*+)"), F.lit(1)), lambda r: F.length(r).cast("double"))
-    total = F.aggregate(cells, F.lit(0.0), lambda a, c: a + c * F.log2(c))
-    return F.when(n > 0, F.greatest(F.lit(0.0), F.log2(n) - total / n)).otherwise(F.lit(0.0))
+    """Bits a byte of one value, from its histogram; 0 for no bytes. No shuffle."""
+    return F.arrow_udf(_entropies, "double")(content)
 
 
 def with_entropy(df: DataFrame, content: str = "content", name: str = "entropy") -> DataFrame:

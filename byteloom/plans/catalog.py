@@ -78,8 +78,7 @@ def byte_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 
 def byte_pair_counts(spark: SparkSession, d: str) -> DataFrame:
-    docs = _documents(spark, d).select(fb.latin1(F.col("content")).alias("word"), F.lit(1).alias("weight"))
-    return pairs.pair_counts(docs).select(_hex("pair").alias("pair"), "n")
+    return pairs.byte_pair_counts(_documents(spark, d)).select(F.hex("pair").alias("pair"), "n")
 
 
 def top_pairs(spark: SparkSession, d: str) -> DataFrame:

@@ -261,3 +261,14 @@ def test_query_of_the_spark_loop_gives_all_merges_of_train_merges(spark, tmp_pat
     whole, loop = (catalog.queries()[name](spark, str(tmp_path)) for name in ("train_merges", "train_merges_spark"))
     expected = sorted(tuple(r) for r in whole.select(*loop.columns).collect())
     assert len(expected) == 88 and sorted(tuple(r) for r in loop.collect()) == expected
+
+
+def test_counting_in_batches_equals_cutting_one_by_one(spark):
+    rng = random.Random(4)
+    parts = [b"a", b"bc", b" ", b"\t\n", b"\0", b"\0\0", b"\xc2", b"\xa0", b"\xc2\xa0", b"\xe2\x80", b"\x83", b"\xe3\x80\x80", b"\xe1\x9a\x80", b"\x85"]
+    values = [b"".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    df = sources.in_memory(spark, values).coalesce(2)
+    for mode in ("none", "ascii", "unicode", "null"):
+        one_by_one = df.select(F.explode(segment.runs(F.col("content"), mode)).alias("word")).groupBy("word").count()
+        expected = {r.word: r["count"] for r in one_by_one.collect()}
+        assert {r.word: r.weight for r in segment.words(df, Segmentation(mode)).collect()} == expected
