@@ -198,17 +198,23 @@ class Remembered:
     def flat(self) -> np.ndarray:
         return self.store[: self.used]
 
-    def missing(self, pieces: list[bytes]) -> np.ndarray:
-        """Places of the pieces, all different, that have no value."""
+    def rows(self, pieces: list[bytes], make: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of the values of pieces, all different.
+
+        make(new) gives those of the pieces at the places new that have none yet: the places in some order, the values
+        joined, and how many each has.
+        """
         if len(self.slot) + len(pieces) > self.limit or max(self.used, self.key_bytes) > 32 * self.limit:
             self.forget()
-        return np.flatnonzero(self._slots(pieces) < 0)
-
-    def _slots(self, pieces: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.slot.get, pieces, repeat(-1)), np.int64, len(pieces))
+        slot = np.fromiter(map(self.slot.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            order, flat, n = make(new)
+            slot[order] = np.arange(len(self.slot), len(self.slot) + len(order))
+            self._add([pieces[i] for i in order.tolist()], flat, n)
+        return self.at[slot], self.n[slot]
 
-    def add(self, pieces: list[bytes], flat: np.ndarray, n: np.ndarray) -> None:
-        """Pieces without a value get the next n values of flat each."""
+    def _add(self, pieces: list[bytes], flat: np.ndarray, n: np.ndarray) -> None:
         first, total = len(self.slot), len(self.slot) + len(pieces)
         if total > len(self.at):
             self.at, self.n = (np.concatenate([x[:first], np.zeros(total, np.int64)]) for x in (self.at, self.n))
@@ -220,11 +226,6 @@ class Remembered:
         self.key_bytes += sum(map(len, pieces))
         self.slot.update(zip(pieces, range(first, total)))
 
-    def rows(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size of the values of pieces that have one."""
-        i = self._slots(pieces)
-        return self.at[i], self.n[i]
-
 
 def expand(flat: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
     """flat[at[0] : at[0] + n[0]], flat[at[1] : at[1] + n[1]] and so on, joined."""

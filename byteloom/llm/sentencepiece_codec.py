@@ -174,8 +174,8 @@ class Codec:
         first = np.append(np.searchsorted(at, row_start), len(at))
         a, b = byte[at], byte[at + size]
         found, example, which = lattice.distinct(data, a, b)
-        new = self.known.missing(found)
-        if len(new):
+
+        def make(new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             one = example[new]
             many = blank[np.minimum(at[one] + 1, len(points) - 1)] & (size[one] > 1)
             easy = (size[one] <= LATTICE_PIECE) & ~many & ~lacking[at[one]]
@@ -192,14 +192,13 @@ class Codec:
                 ids, k = self.lattice.tokens(last, count, begin + n - 1)
                 values.append(ids)
                 counts.append(k)
-            hard = one[~easy]
-            for i in hard.tolist():
+            for i in one[~easy].tolist():
                 ids = self._scalar(data[a[i] : b[i]].tobytes().decode())
                 values.append(np.array(ids, np.int64))
                 counts.append(np.array([len(ids)]))
-            order = np.concatenate([new[easy], new[~easy]]).tolist()
-            self.known.add([found[i] for i in order], np.concatenate(values), np.concatenate(counts).astype(np.int64))
-        where, n = self.known.rows(found)
+            return np.concatenate([new[easy], new[~easy]]), np.concatenate(values), np.concatenate(counts).astype(np.int64)
+
+        where, n = self.known.rows(found, make)
         ids = lattice.expand(self.known.flat, where[which], n[which])
         total = np.concatenate([[0], np.cumsum(n[which])])
         return ids, np.diff(total[first])

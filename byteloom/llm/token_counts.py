@@ -129,21 +129,14 @@ class Counter:
     def counts(self, column: pa.Array) -> np.ndarray:
         """Tokens of each text."""
         pieces = Pieces(column)
-        new = self.sizes.missing(pieces.values)
-        if len(new):
-            values = [pieces.values[i] for i in new.tolist()]
-            self.sizes.add(values, np.array([len(self.encode(v)) for v in values]), np.ones(len(new), np.int64))
-        at, _ = self.sizes.rows(pieces.values)
+        at, _ = self.sizes.rows(pieces.values, lambda new: (new, np.array([len(self.encode(pieces.values[i])) for i in new.tolist()]), np.ones(len(new), np.int64)))
         total = np.concatenate([[0], np.cumsum(self.sizes.flat[at][pieces.which], dtype=np.int64)])
         return np.diff(total[pieces.first])
 
     def prefix_counts(self, column: pa.Array) -> list[np.ndarray]:
         """For each text the tokens of its first i characters, for i from 1 to its length."""
         pieces = Pieces(column)
-        new = self.known.missing(pieces.values)
-        if len(new):
-            self.known.add([pieces.values[i] for i in new.tolist()], *self._tables(pieces, new))
-        at, n = self.known.rows(pieces.values)
+        at, n = self.known.rows(pieces.values, lambda new: (new, *self._tables(pieces, new)))
         ends = self.known.flat[at + n - 1][pieces.which].astype(np.int64)
         before = np.cumsum(ends) - ends
         base = np.append(before, 0)[pieces.first[:-1]]

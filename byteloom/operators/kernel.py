@@ -6,10 +6,11 @@ import heapq
 import os
 import resource
 import time
-from collections import defaultdict
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
+import numpy as np
+
 from byteloom import layout
 from byteloom.config import TrainerConfig
 from byteloom.functions.bytes import refused
@@ -107,29 +108,80 @@ class Decider:
         return len(self.out.tokens) - 1
 
 
+class _Positions:
+    """All words in one array of tokens, linked so that merged ones drop out, and where each pair stood when it arose."""
+
+    def __init__(self, data: np.ndarray, lengths: np.ndarray, weights: np.ndarray):
+        n = len(data)
+        self.token = data.astype(np.int64) + layout.FIRST_BYTE
+        self.next, self.prev = np.arange(1, n + 1), np.arange(-1, n - 1)
+        ends = np.cumsum(lengths)
+        self.next[ends - 1] = -1
+        self.prev[ends - lengths] = -1
+        self.weight = np.repeat(weights, lengths)
+        self.where: dict[int, list[np.ndarray]] = {}
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        """The pairs that begin at the places, as numbers that sort as their ids do."""
+        return self.token[places] << 32 | self.token[self.next[places]]
+
+    def listed(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The different pairs at the places and their weights; where each stands is noted."""
+        key = self.at(places)
+        order = np.argsort(key, kind="stable")
+        key, places = key[order], places[order]
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        keys = key[new]
+        for k, part in zip(keys.tolist(), np.split(places, new[1:])):
+            self.where.setdefault(k, []).append(part)
+        return keys, np.add.reduceat(self.weight[places], new) if len(new) else np.zeros(0, np.int64)
+
+    def merge(self, pair: int, token: int) -> tuple[int, list[int], list[int], list[int], list[int]]:
+        """Replacements of a pair from left to right; the pairs that went and those that came, each with their weights."""
+        places = np.sort(np.concatenate(self.where.pop(pair)))
+        if len(places) > 1:
+            places = places[np.concatenate([[True], places[1:] != places[:-1]])]
+        a, b = pair >> 32, pair & 0xFFFFFFFF
+        places = places[(self.token[places] == a) & (self.next[places] >= 0)]
+        places = places[self.token[self.next[places]] == b]
+        if a == b and len(places) > 1:
+            # In a run of overlapping places every second one is taken.
+            follows = np.concatenate([[False], self.next[places[:-1]] == places[1:]])
+            at = np.arange(len(places))
+            places = places[(at - np.maximum.accumulate(np.where(follows, 0, at))) % 2 == 0]
+        right = self.next[places]
+        before, after = self.prev[places], self.next[right]
+        touched = np.unique(np.concatenate([before[before >= 0], places, right[after >= 0]]))
+        key, at = np.unique(self.at(touched), return_inverse=True)
+        went = np.bincount(at, self.weight[touched]).astype(np.int64)
+        self.token[places], self.token[right] = token, -1
+        self.next[places] = after
+        self.prev[after[after >= 0]] = places[after >= 0]
+        before = self.prev[places]
+        came, gained = self.listed(np.unique(np.concatenate([before[before >= 0], places[self.next[places] >= 0]])))
+        return int(self.weight[places].sum()), key.tolist(), went.tolist(), came.tolist(), gained.tolist()
+
+
 def train_words(words: Iterable[tuple[str, int]], config: TrainerConfig) -> Trained:
-    """Trains on (Latin-1 word, weight) rows with an index of the words that hold each pair.
+    """Trains on (Latin-1 word, weight) rows."""
+    words = [(w, n) for w, n in words if len(w) > 1]
+    data = np.frombuffer("".join(w for w, _ in words).encode("latin-1"), np.uint8)
+    return train_arrays(data, np.array([len(w) for w, _ in words], np.int64), np.array([n for _, n in words], np.int64), config)
 
-    Words stay strings of one character a token and pairs are strings of two, which sort as their ids do.
-    """
+
+def train_arrays(data: np.ndarray, lengths: np.ndarray, weights: np.ndarray, config: TrainerConfig) -> Trained:
+    """Trains on the joined bytes of words of one byte or more, with an index of the places where each pair arose."""
     decider = Decider(config)
-    texts: list[str] = []
-    weights: list[int] = []
-    counts: dict[str, int] = defaultdict(int)
-    where: dict[str, set[int]] = defaultdict(set)
-    for i, (word, weight) in enumerate(words):
-        texts.append(word)
-        weights.append(weight)
-        for pair in map("".join, zip(word, word[1:])):
-            counts[pair] += weight
-            where[pair].add(i)
-
-    def ids(pair: str) -> tuple[int, int]:
-        return layout.id_of(pair[0]), layout.id_of(pair[1])
-
-    heap = [(-n, p) for p, n in counts.items() if n >= config.min_frequency and decider.fits(ids(p))]
+    p = _Positions(data, lengths, weights)
+    keys, n = p.listed(np.flatnonzero(p.next >= 0))
+    counts: dict[int, int] = dict(zip(keys.tolist(), n.tolist()))
+
+    def ids(pair: int) -> tuple[int, int]:
+        return pair >> 32, pair & 0xFFFFFFFF
+
+    heap = [(-n, k) for k, n in counts.items() if n >= config.min_frequency and decider.fits(ids(k))]
     heapq.heapify(heap)
-    gone: set[str] = set()
+    gone: set[int] = set()
     live = len(counts)
     while True:
         stop = decider.full()
@@ -144,8 +196,7 @@ def train_words(words: Iterable[tuple[str, int]], config: TrainerConfig) -> Trai
             stop = NO_PAIRS
             break
         n, pair = heapq.heappop(heap)
-        n = -n
-        verdict = decider.judge(ids(pair), n)
+        verdict = decider.judge(ids(pair), -n)
         if verdict == "stop":
             stop = PLATEAU
             break
@@ -153,33 +204,22 @@ def train_words(words: Iterable[tuple[str, int]], config: TrainerConfig) -> Trai
             gone.add(pair)
             live -= 1
             continue
-        token = layout.char_of(len(decider.out.tokens))
-        applied, delta = 0, defaultdict(int)
-        for i in where.pop(pair):
-            old, weight = texts[i], weights[i]
-            new = old.replace(pair, token)
-            if new is old or len(new) == len(old):
-                continue
-            applied += weight * (len(old) - len(new))
-            for p in map("".join, zip(old, old[1:])):
-                delta[p] -= weight
-            for p in map("".join, zip(new, new[1:])):
-                delta[p] += weight
-                if token in p:
-                    where[p].add(i)
-            texts[i] = new
-        for p, d in delta.items():
+        token = len(decider.out.tokens)
+        applied, old, went, new, gained = p.merge(pair, token)
+        delta: dict[int, int] = dict(zip(new, gained))
+        for k, d in zip(old, went):
+            delta[k] = delta.get(k, 0) - d
+        for k, d in delta.items():
             if d:
-                before = counts[p]
-                counts[p] = before + d
-                if p not in gone:
+                before = counts.get(k, 0)
+                counts[k] = before + d
+                if k not in gone:
                     live += (before + d > 0) - (before > 0)
-        left = counts.pop(pair, 0)
-        live -= left > 0
-        decider.merge(ids(pair), n, applied, live)
-        for p, d in delta.items():
-            if token in p and counts[p] >= config.min_frequency and decider.fits(ids(p)):
-                heapq.heappush(heap, (-counts[p], p))
+        live -= counts.pop(pair, 0) > 0
+        decider.merge(ids(pair), -n, applied, live)
+        for k in new:
+            if counts.get(k, 0) >= config.min_frequency and token in ids(k) and decider.fits(ids(k)):
+                heapq.heappush(heap, (-counts[k], k))
     return decider.done(stop)
 
 

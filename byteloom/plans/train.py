@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,6 +100,14 @@ def _ids(pair: str) -> tuple[int, int]:
     return layout.id_of(pair[0]), layout.id_of(pair[1])
 
 
+def _joined(words: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all words, joined, and the length of each."""
+    column = words.combine_chunks().cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer((column.buffers()[2] if len(column) else None) or b"", np.uint8)
+    return data[offsets[0] : offsets[-1]], np.diff(offsets)
+
+
 def finished(trained: kernel.Trained, config: TrainerConfig, pad: bool = True) -> Model:
     tokens = trained.tokens + (kernel.padding(trained.tokens, config.vocab_size) if pad else [])
     return Model(tokens, trained.merges, config, trained.metrics, trained.stop_reason, trained.seconds)
@@ -114,7 +124,8 @@ def train_on_words(words: DataFrame, config: TrainerConfig, engine: str = "auto"
     if not n:
         raise ValueError("there is nothing to train on")
     if engine == "memory" or (engine == "auto" and n <= MEMORY_WORDS and chars <= MEMORY_CHARS):
-        trained = kernel.train_words(((r.word, r.weight) for r in words.where(F.length("word") > 1).toLocalIterator()), config)
+        found = words.where(F.length("word") > 1).select(F.encode("word", "ISO-8859-1").alias("word"), "weight").toArrow()
+        trained = kernel.train_arrays(*_joined(found.column(0)), found.column(1).to_numpy(), config)
     else:
         trained = _loop(words, config, batch)
     words.unpersist()
