@@ -15,8 +15,9 @@ stretch are; there they are grouped by their 64-bit hashes, which leaves the rep
 order of their words nor extended word by word, as only the equality of stretches of fixed length counts.
 
 What is equal within a batch of documents is compared there before anything is shuffled: only the lowest document of a batch
-stands for a passage in its group, so a passage that a third of all documents share has one row a batch there, and no set of
-pairs.
+stands for a passage in its group. A task also remembers, in a table of fixed size, what its batches had: once it has sent
+one occurrence and one to keep it company, it sends others only where they are the lowest so far. So of a passage that a third of
+all documents share some rows a task are shuffled, however many documents the task has, and no set of pairs.
 
 Defined cases. Texts of fewer than MIN_WORDS words, null and empty ones included, have no passage. Very long texts have all
 their passages compared. Rows equal in doc_id and text are one document: they don't repeat each other and are edited alike.
@@ -39,6 +40,8 @@ from byteloom.llm import common, wordhash
 MIN_WORDS, SEED = 50, 10
 #: Words around a minimiser that are compared first.
 REACH = 30
+#: Hashes that a task remembers, a power of two.
+SLOTS = 1 << 18
 
 
 def _least(v: np.ndarray, w: int) -> np.ndarray:
@@ -104,6 +107,28 @@ def _documents(column: pa.Array) -> Iterator[tuple[int, Document]]:
             yield k, Document(h[a:b])
 
 
+class Met:
+    """What a task has met lately, by hash. A slot holds the last of the hashes that fall in it; the others are forgotten."""
+
+    def __init__(self, **columns: type):
+        self.hash, self.used = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, bool)
+        self.values = {name: np.zeros(SLOTS, kind) for name, kind in columns.items()}
+
+    def known(self, h: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """Whether each of the hashes is here, and what is remembered of it."""
+        slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        return self.used[slot] & (self.hash[slot] == h), {name: x[slot] for name, x in self.values.items()}
+
+    def keep(self, h: np.ndarray, **values: np.ndarray) -> None:
+        """Remembers the hashes, all different, with their values."""
+        slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        self.hash[slot] = h
+        self.used[slot] = True
+        last = self.hash[slot] == h
+        for name, x in values.items():
+            self.values[name][slot[last]] = x[last]
+
+
 def _spread(k: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Keys of rows that need no company."""
     return wordhash.mix(k.view(np.uint64) ^ wordhash.mix(place.astype(np.uint64), 3), 4)
@@ -112,10 +137,12 @@ def _spread(k: np.ndarray, place: np.ndarray) -> np.ndarray:
 def retained(docs: DataFrame) -> DataFrame:
     """key, k, place, sure of the retained suffixes of docs (k, text).
 
-    Of those with one key in a batch of documents, one has this key; the others, sure to be repeated, get keys of their own.
+    Of those with one key in a batch of documents, one has this key; the others, sure to be repeated, get keys of their own,
+    and so does that one if the task has sent one that is sure before.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = Met(k=np.int64, place=np.int32, told=bool)
         for b in common.pieces(batches, 1):
             ks, parts = np.asarray(b.column(0)), ([], [], [])
             for i, d in _documents(b.column(1)):
@@ -130,8 +157,15 @@ def retained(docs: DataFrame) -> DataFrame:
             new = np.concatenate([[True], key[1:] != key[:-1]])
             head = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
             other = (k != k[head]) | (place != place[head])
-            sure = np.logical_or.reduceat(other, np.flatnonzero(new))[np.cumsum(new) - 1]
-            key = np.where(sure & ~new, _spread(k, place), key)
+            at, group = np.flatnonzero(new), np.cumsum(new) - 1
+            known, was = met.known(key[at])
+            told = known & was["told"]
+            one = told | (known & ((was["k"] != k[at]) | (was["place"] != place[at]))) | np.logical_or.reduceat(other, at)
+            met.keep(key[at], k=np.where(known, was["k"], k[at]), place=np.where(known, was["place"], place[at]), told=one)
+            sure = one[group]
+            away = ~new
+            away[at] = told
+            key = np.where(sure & away, _spread(k, place), key)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(k), pa.array(place), pa.array(sure)], ["key", "k", "place", "sure"])
 
     return docs.select("k", "text").mapInArrow(run, "key long, k long, place int, sure boolean")
@@ -139,18 +173,47 @@ def retained(docs: DataFrame) -> DataFrame:
 
 def matched(suffixes: DataFrame) -> DataFrame:
     """k, places: for each document the suffixes that have an equal neighbour which is another one."""
-    # A key has as many rows as there are batches of documents with it, at most.
+    # A key of many documents has some rows a task.
     run = Window.partitionBy("key")
     own = F.struct("k", "place")
     found = suffixes.withColumn("lo", F.min(own).over(run)).withColumn("hi", F.max(own).over(run)).where("sure or lo <> hi")
     return found.groupBy("k").agg(F.collect_set("place").alias("places"))
 
 
-def _ranks(ids: pa.Array, ks: np.ndarray) -> np.ndarray:
-    """The rank of each row in the order of (id, k), nulls first; equal rows have one rank."""
+def _ranks(ids: pa.Array, ks: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
+    """The rank of each row in the order of (id, k), nulls first, and what each rank stands for; equal rows have one rank."""
     keys = [(i is not None, i, k) for i, k in zip(ids.to_pylist(), ks.tolist())]
-    place = {x: n for n, x in enumerate(sorted(set(keys)))}
-    return np.array([place[x] for x in keys], np.int64)
+    names = sorted(set(keys))
+    place = {x: n for n, x in enumerate(names)}
+    return np.array([place[x] for x in keys], np.int64), names
+
+
+class Lowest:
+    """The lowest document so far that each passage of a task stands in, and whether it has company where it was sent."""
+
+    def __init__(self) -> None:
+        self.names: list[tuple] = []
+        self.met = Met(owner=np.int64, told=bool)
+
+    def later(self, h: np.ndarray, rank: np.ndarray, names: list[tuple], shared: np.ndarray) -> np.ndarray:
+        """Of the passages h, which needn't be sent as a lower document has them, and both that and a further one were sent.
+
+        rank is the lowest document of the batch with the passage, by its place in names; shared tells that it isn't the only one.
+        """
+        known, was = self.met.known(h)
+        base = len(self.names)
+        self.names += names
+        owner, own = np.where(known, was["owner"], 0), rank + base
+        at = np.flatnonzero(known)
+        pairs, back = np.unique(np.stack([owner[at], own[at]]), axis=1, return_inverse=True)
+        order = np.array([(self.names[a] > self.names[b]) - (self.names[a] < self.names[b]) for a, b in pairs.T.tolist()], np.int64)
+        side = np.zeros(len(h), np.int64)
+        side[at] = order[back.ravel()]
+        told = known & was["told"]
+        self.met.keep(h, owner=np.where(known & (side <= 0), owner, own), told=told | shared | (side != 0))
+        if len(self.names) > SLOTS:
+            self.__init__()
+        return told & (side < 0)
 
 
 def extended(joined: DataFrame, doc: str, key: str, text: str, places: str, id_type: str) -> DataFrame:
@@ -158,12 +221,14 @@ def extended(joined: DataFrame, doc: str, key: str, text: str, places: str, id_t
 
     joined has all columns of the documents and the places. Of the passages that are equal in a batch of documents only
     those of its lowest document have their hashes in hs. The others, whatever other batches hold, stand somewhere earlier:
-    they are in the bits of later, and their hashes are null. The bits of seen tell the passages that have such others. A
-    suffix with nothing left in hs gets a key of its own.
+    they are in the bits of later, and their hashes are null. So are those of which the task has sent a lower document and
+    one more before. The bits of seen tell the passages that have others in the batch. A suffix with nothing left in hs gets
+    a key of its own.
     """
     at = [joined.columns.index(c) for c in (doc, key, text, places)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lowest = Lowest()
         for b in common.pieces(batches, at[2]):
             ids, k, texts, places = (b.column(i) for i in at)
             ks, found = np.asarray(k), []
@@ -174,17 +239,19 @@ def extended(joined: DataFrame, doc: str, key: str, text: str, places: str, id_t
                     found.append((key, np.full(len(key), i), begin, count, d.runs(first, first + MIN_WORDS)))
             if not found:
                 continue
-            rank = _ranks(ids, ks)
+            rank, names = _ranks(ids, ks)
             found.sort(key=lambda x: rank[x[1][0]])
             key, row, start, n, h = map(np.concatenate, zip(*found))
             # Equal passages, in the order of their documents.
             order = np.argsort(h, kind="stable")
             hs, own = h[order], np.repeat(rank[row], n)[order]
             new = np.concatenate([[True], hs[1:] != hs[:-1]])
-            other = own != own[np.maximum.accumulate(np.where(new, np.arange(len(hs)), 0))]
-            shared = np.logical_or.reduceat(other, np.flatnonzero(new))[np.cumsum(new) - 1]
+            first, group = np.flatnonzero(new), np.cumsum(new) - 1
+            other = own != own[first][group]
+            shared = np.logical_or.reduceat(other, first)
+            gone = lowest.later(hs[first], own[first], names, shared)
             is_later, is_seen = np.zeros(len(h), bool), np.zeros(len(h), bool)
-            is_later[order], is_seen[order] = other, shared & ~other
+            is_later[order], is_seen[order] = other | gone[group], shared[group] & ~other
             heads = np.cumsum(n) - n
             bit = np.int64(1) << (np.arange(len(h)) - np.repeat(heads, n))
             later, seen = (np.add.reduceat(np.where(x, bit, 0), heads) for x in (is_later, is_seen))

@@ -226,6 +226,43 @@ def test_repeated_spans_match_brute_force(spark, corpus):
     assert covered(suffix_dedup.repeated_spans(table(spark, rows)).collect()) == brute_spans(rows)
 
 
+@pytest.mark.parametrize("order", ["ascending", "descending", "mixed"])
+def test_shared_passages_over_many_batches_match_brute_force(spark, order):
+    rng = random.Random(8)
+    shared = [words(rng, 60), words(rng, 75)]
+    rows = [(i, " ".join(words(rng, 12) + shared[i % 2] * (i % 3 == 0) + words(rng, 12) + shared[0] * (i % 7 == 0))) for i in range(90)]
+    rows += [(None, " ".join(shared[1])), rows[3], rows[3], (200, rows[6][1]), (201, " ".join(shared[1] + shared[1]))]
+    if order == "descending":
+        rows.reverse()
+    elif order == "mixed":
+        rng.shuffle(rows)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "3")
+    try:
+        found = suffix_dedup.repeated_spans(table(spark, rows).coalesce(1)).collect()
+    finally:
+        spark.conf.set(name, before)
+    assert covered(found) == brute_spans(rows)
+
+
+def test_a_task_sends_few_rows_of_a_passage_that_all_documents_share(spark):
+    rng = random.Random(9)
+    shared = " ".join(words(rng, 50))
+    docs = spark.createDataFrame([(i, f"{shared} {' '.join(words(rng, 5))}") for i in range(400)], "k long, text string").coalesce(1)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "2")
+    try:
+        keys = Counter(r.key for r in suffix_dedup.retained(docs).where("place < 80").collect())
+        assert max(keys.values()) <= 2
+        joined = docs.withColumn("doc_id", F.col("k")).withColumn("places", F.sequence(F.lit(0), F.lit(200)))
+        sent = suffix_dedup.extended(joined, "doc_id", "k", "text", "places", "bigint").select(F.explode("hs").alias("h")).where("h is not null")
+        assert max(r["count"] for r in sent.groupBy("h").count().collect()) <= 2
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_minimisers_are_the_leftmost_least():
     rng = np.random.default_rng(0)
     for _ in range(60):
