@@ -78,6 +78,9 @@ def test_repeated_labels_ties_and_empty_tables(spark):
     model = toxicity.train(docs, labels)
     assert model is not None  # 1 is toxic, as one of its labels says so
     assert toxicity.train(docs.limit(0), labels) is None and toxicity.train(docs, labels.limit(0)) is None
+    # A labelled id of many rows has one of them in the sample.
+    more = docs.union(table(spark, [(2, f"fine words here {i}") for i in range(300)]))
+    assert toxicity.train(more, labels).weight.tolist() == model.weight.tolist()
     score = toxicity.scores(pa.array(["fine words here"]), model)[0]
     tied = toxicity.Model(model.weight, model.bias, float(score))
     assert 2 not in {r.doc_id for r in toxicity.toxic_documents(docs, tied).collect()} and toxicity.filter_documents(docs, tied).where("doc_id = 2").count() == 1
