@@ -343,19 +343,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     keyed, key, places = _keyed(docs, id_col, text_col)
     found = _spans(keyed, key, places, id_col, text_col).where("removed")
-    cuts, k, i = common.fresh(keyed, "cuts", "found_k", "found_id")
-    found = found.groupBy("k", "doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("cuts")).toDF(k, i, cuts)
-    # A key is the document's together with its id.
-    same = (keyed[key] == found[k]) & keyed[id_col].eqNullSafe(found[i])
+    cuts, k = common.fresh(keyed, "cuts", "found_k")
+    found = found.groupBy("k").agg(F.collect_list(F.struct("doc_id", "start_word", "end_word")).alias("cuts")).toDF(k, cuts)
 
     def edit(text: pa.Array, cuts: pa.Array) -> pa.Array:
         out = [None if t is None or c is None else without_words(t, [(x["start_word"], x["end_word"]) for x in c]) for t, c in zip(text.to_pylist(), cuts.to_pylist())]
         return pa.array(out, pa.string())
 
-    # Only edited texts go to Python.
+    # Called nondeterministic, so that it isn't run a second time in the condition below. Only edited texts go to Python.
+    edited = F.arrow_udf(edit, "string").asNondeterministic()
     cut = F.col(cuts).isNotNull()
     (new,) = common.fresh(keyed.withColumn(cuts, F.lit(0)), "edited_text")
-    joined = keyed.join(found, same, "left").withColumn(new, F.arrow_udf(edit, "string")(F.when(cut, F.col(text_col)), F.col(cuts)))
+    # Joined by the key alone, by which the documents are there already; a key is the document's together with its id.
+    own = F.filter(cuts, lambda x: x["doc_id"].eqNullSafe(keyed[id_col]))
+    joined = keyed.join(found, keyed[key] == found[k], "left").withColumn(cuts, F.when(F.size(own) > 0, own)).withColumn(new, edited(F.when(cut, F.col(text_col)), F.col(cuts)))
     values = {text_col: F.when(cut, F.col(new)).otherwise(F.col(text_col))}
     if n_chars_col in docs.columns:
         values[n_chars_col] = F.when(cut, F.length(new).cast(docs.schema[n_chars_col].dataType)).otherwise(F.col(n_chars_col))
