@@ -41,6 +41,43 @@ def test_held_out_accuracy(spark, labelled, model):
     assert len(found - truth) <= 0.03 * (200 - len(truth))
 
 
+def test_every_labelled_document_is_learned_from(spark):
+    """2,000 toxic documents with 1,000 insults, two for each. Fitted on a sample of 1,200, it found 840, and 299 others."""
+    rng = random.Random(17)
+    insults = ["".join(rng.choice("bcdfgklmprtvz") + rng.choice("aeiouy") for _ in range(6)) for _ in range(1000)]
+    rows = [(i, " ".join(words(rng, 12) + ([insults[i % 1000]] if i < 2000 else []) + words(rng, 12))) for i in range(6000)]
+    labels = spark.createDataFrame([(i, 1, int(i < 2000)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.train(table(spark, rows), labels)
+    new = [(i, " ".join(words(rng, 12) + [insults[i]] + words(rng, 12))) for i in range(1000)] + [(i, " ".join(words(rng, 24))) for i in range(1000, 2000)]
+    found = {r.doc_id for r in toxicity.toxic_documents(table(spark, new), model).collect()}
+    assert len(found & set(range(1000))) >= 900 and len(found - set(range(1000))) <= 200
+
+
+def test_shards_hold_every_labelled_document_and_agree(spark, labelled, monkeypatch):
+    rows, labels = labelled
+    docs, marks = table(spark, rows[:700] + ODD + [(700, "!!!"), (701, None)]), spark.createDataFrame(labels[:700] + [(700, 1, 1), (701, 1, 1), (703, 1, 0)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "SHARD", 100)
+    known = marks.select(F.col("doc_id").alias("id"), F.col("toxic").alias("y"))
+    packed = toxicity._packed(docs, known, 703, "doc_id", "text").collect()
+    assert len({r.shard for r in packed}) == 8
+    clean, toxic, clean_held, toxic_held = (sum(r[c] for r in packed) for c in toxicity.COUNTS)
+    assert (clean + clean_held, toxic + toxic_held) == (560, 140) and 90 <= clean_held <= 130 and 15 <= toxic_held <= 40
+    model = toxicity.train(docs, marks)
+    assert toxicity.train(docs.repartition(3), marks).weight.tolist() == model.weight.tolist()
+    found = {r.doc_id for r in toxicity.toxic_documents(table(spark, rows[700:]), model).collect()}
+    truth = {i for i, _, t in labels[700:] if t}
+    assert len(found & truth) >= 0.95 * len(truth) and len(found - truth) <= 0.03 * (200 - len(truth))
+
+
+@pytest.mark.parametrize("n, digits", [(1, 3), (2, 0), (3000, 2), (3000, 9)])
+def test_threshold_over_partitions_is_the_best_one(spark, n, digits):
+    rng = np.random.default_rng(n + digits)
+    y = (rng.random(n) < 0.3).astype(int)
+    s = np.round(rng.random(n) * 0.7 + 0.3 * y, digits)
+    scored = spark.createDataFrame(list(zip(s.tolist(), y.tolist())), "s double, y int").repartition(5)
+    assert toxicity.fitted_threshold(scored) == toxicity.best_threshold(s, y)
+
+
 def test_gradients_are_those_of_finite_differences():
     """One step's direction, by Adam's first moment, against differences of the loss."""
     rng = np.random.default_rng(3)
