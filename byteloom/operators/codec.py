@@ -1,8 +1,9 @@
 """Encoding bytes to ids and back.
 
-Merges whose parts come from earlier ranks can be applied to a whole text rank by rank, as replacements in Catalyst; that
-is done up to ``FOLD`` merges. Beyond, or with merges out of order, texts are encoded by a heap in Arrow batches. Where no
-token reaches over the edge of a run of white space, they are cut there, and a worker remembers the runs it has met.
+Where no token reaches over the edge of a run of white space and merges' parts come from earlier ranks, texts are cut there,
+and the different runs of an Arrow batch are encoded all at once (``operators.run_codec``). Else merges in order can be applied
+to a whole text rank by rank, as replacements in Catalyst; that is done up to ``FOLD`` merges. Beyond, or with merges out of
+order, texts are encoded by a heap in Arrow batches.
 """
 
 from __future__ import annotations
@@ -11,17 +12,22 @@ import heapq
 import re
 from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from byteloom import layout
 from byteloom.functions.bytes import latin1
 from byteloom.model import Model
+from byteloom.operators.blocks import slices, values
+from byteloom.operators.run_codec import RunEncoder
 
 #: Most merges that are folded into one expression.
 FOLD = 64
+#: Tokens that are decoded together.
+DECODED = 1 << 20
 #: Runs that a worker remembers.
 REMEMBERED = 200_000
 _RUNS = re.compile(rb"[\t-\r ]+|[^\t-\r ]+").findall
@@ -33,6 +39,11 @@ def in_order(model: Model) -> bool:
     return all(max(p) < base + r and model.result(r) == base + r for r, p in enumerate(model.merges)) and model.tokens[layout.FIRST_BYTE : layout.FIRST_TRAILING] == [bytes([b]) for b in range(256)]
 
 
+def _apart(model: Model) -> bool:
+    """Whether no merge reaches over the edge of a run of white space."""
+    return all(len(_RUNS(model.tokens[model.result(r)])) == 1 for r in range(len(model.merges)))
+
+
 def encoder(model: Model, literals: bool = True) -> Callable[[bytes], list[int]]:
     """Encodes one value: special literals first, then the pair of the lowest rank, the leftmost of equals."""
     rank = {p: r for r, p in reversed(list(enumerate(model.merges)))}
@@ -63,7 +74,7 @@ def encoder(model: Model, literals: bool = True) -> Callable[[bytes], list[int]]
                 heapq.heappush(heap, (r, before[i]))
         return [p for p in part if p >= 0]
 
-    apart = all(len(_RUNS(model.tokens[i])) == 1 for i in result)
+    apart = _apart(model)
     known: dict[bytes, list[int]] = {}
 
     def encode(data: bytes) -> list[int]:
@@ -103,43 +114,57 @@ def fold(content: Column, model: Model, literals: bool = True) -> Column:
 
 def encode(df: DataFrame, model: Model, content: str = "content", out: str = "tokens", literals: bool = True) -> DataFrame:
     """df with the ids of its binary column; null stays null."""
-    if len(model.merges) <= FOLD and in_order(model):
+    if len(model.merges) <= FOLD and in_order(model) and not _apart(model):
         return df.withColumn(out, fold(F.col(content), model, literals))
     return df.withColumn(out, heaped(F.col(content), model, literals))
 
 
 def heaped(content: Column, model: Model, literals: bool = True) -> Column:
-    """ids of a binary column by the heap, in Arrow batches."""
-    made: list[Callable[[bytes], list[int]]] = []
+    """ids of a binary column in Arrow batches: the runs of a batch at once if the model allows it, else by the heap."""
+    made: list[Callable[[pa.Array], pa.Array]] = []
+    together = in_order(model) and _apart(model)
 
-    def run(values: pa.Array) -> pa.Array:
+    def run(column: pa.Array) -> pa.Array:
         if not made:
-            made.append(encoder(model, literals))
-        return pa.array([None if x is None else made[0](x) for x in values.to_pylist()], pa.list_(pa.int32()))
+            if together:
+                made.append(RunEncoder(model, encoder(model, False), literals))
+            else:
+                one = encoder(model, literals)
+                made.append(lambda column: pa.array([None if x is None else one(x) for x in column.to_pylist()], pa.list_(pa.int32())))
+        return made[0](column)
 
     return F.arrow_udf(run, "array<int>")(content)
 
 
 def decode(df: DataFrame, model: Model, tokens: str = "tokens", out: str = "content", skip_special: bool = False) -> DataFrame:
     """df with the bytes of its ids. An id outside the vocabulary is an error; null stays null."""
-    special = sorted(model.special_ids.values())
-    vocab = F.array(*(F.lit(bytearray(t)) for t in model.tokens)) if model.size <= 2048 else None
-    ids = F.filter(F.col(tokens), lambda t: ~t.isin(*special)) if skip_special and special else F.col(tokens)
-    wrong = F.exists(ids, lambda t: (t < 0) | (t >= model.size))
-    checked = F.when(wrong, F.raise_error("a token id is outside the vocabulary").cast("array<int>")).otherwise(ids)
-    if vocab is not None:
-        hexes = F.array_join(F.transform(checked, lambda t: F.hex(F.element_at(vocab, t + 1))), "")
-        return df.withColumn(out, F.when(F.col(tokens).isNotNull(), F.unhex(hexes)))
-
-    return df.withColumn(out, _joined(model.tokens)(checked))
-
-
-def _joined(table: list[bytes]) -> Callable:
-    @F.pandas_udf("binary")
-    def join(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda r: None if r is None else b"".join(table[t] for t in r))
-
-    return join
+    return df.withColumn(out, _joined(model.tokens, sorted(model.special_ids.values()) if skip_special else [])(F.col(tokens).cast("array<int>")))
+
+
+def _joined(table: list[bytes], skipped: list[int]) -> Callable:
+    # What is skipped has no bytes.
+    kept = [*(b"" if i in set(skipped) else t for i, t in enumerate(table)), b""]  # the last stands for null
+
+    def join(ids: pa.Array) -> pa.Array:
+        lists = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+        valid = lists.is_valid()
+        flat = lists.flatten()
+        size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        given = flat.drop_null().to_numpy()
+        if len(given) and (given.min() < 0 or given.max() >= len(table)):
+            raise ValueError("a token id is outside the vocabulary")
+        numbers = pc.fill_null(flat, len(table)).to_numpy()
+        vocabulary, at = pa.array(kept, pa.binary()), np.concatenate([[0], np.cumsum(size)])
+        parts = []
+        for a, z in slices(at, DECODED):
+            # The tokens in their order are the values' bytes one after another.
+            data, ends = values(vocabulary.take(pa.array(numbers[at[a] : at[z]])))
+            offsets = pa.py_buffer(np.ascontiguousarray(ends[at[a : z + 1] - at[a]]))
+            parts.append(pa.Array.from_buffers(pa.large_binary(), z - a, [None, offsets, pa.py_buffer(np.ascontiguousarray(data))]))
+        joined = pa.concat_arrays(parts) if parts else pa.array([], pa.large_binary())
+        return pc.if_else(valid, joined, pa.scalar(None, pa.large_binary())).cast(pa.binary())
+
+    return F.arrow_udf(join, "binary")
 
 
 def sample_text(content: Column, first_bytes: int | None = None) -> Column:
